@@ -17,7 +17,7 @@ from .common import worker_cache
 
 SPACE = "▁"
 #: Chunks and pairs remembered by a worker; beyond this many a table starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 class PieceCodec:
@@ -50,7 +50,8 @@ class PieceCodec:
         seen: dict[float, int] = {}
         for s in self.score.values():
             seen[s] = seen.get(s, 0) + 1
-        self.tied = [p for p, s in self.score.items() if seen[s] > 1 and len(p) > 1]
+        tied = [p for p, s in self.score.items() if seen[s] > 1 and len(p) > 1]
+        self.tied = [p for p in tied if not any(q != p and q in p for q in tied)]
         self.finder = ahocorasick.Automaton()
         for p in self.id:
             if self.merged(p) == [p]:

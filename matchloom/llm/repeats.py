@@ -1,0 +1,277 @@
+"""Repeated windows of unit sequences (words or bytes), found through anchors that equal windows share.
+
+A window of `size` units has size - k + 1 runs of k units; the run with the least hash, the leftmost of equals, is its
+anchor. Equal windows have equal anchors at equal places, so windows need only be compared under their anchor. Windows
+that start one after another under one anchor make a region; a region is one row, however many windows it holds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import attach_group, worker_cache, written
+
+U = np.uint64
+#: Odd bases of the two rolling hashes, fixed values.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Units of a text that are treated at once, and regions of one anchor that are compared in one task.
+STRETCH, TOGETHER = 1 << 21, 4096
+#: A region's place: start * SPAN + how many more windows it has.
+SPAN = 1 << 12
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> U(29))) * U(0xA0761D6478BD642F)
+    return x ^ (x >> U(32))
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of the bases and of their inverses modulo 2^64, up to n."""
+    kept = worker_cache("powers", lambda: {"n": 0})
+    if kept["n"] < n + 1:
+        kept["n"] = size = max(4096, 2 * n)
+        kept["of"] = []
+        for base in BASES:
+            pair = []
+            for b in (base, pow(base, -1, 2**64)):
+                p = np.full(size, b, dtype=np.uint64)
+                p[0] = 1
+                pair.append(np.multiply.accumulate(p))
+            kept["of"].append(tuple(pair))
+    return kept["of"]
+
+
+class Rolling:
+    """Hashes of any stretch of a unit sequence from prefix sums."""
+
+    def __init__(self, units: np.ndarray, which: int):
+        power, self.inverse = _powers(len(units) + 1)[which]
+        self.sums = np.zeros(len(units) + 1, np.uint64)
+        np.cumsum((units + U(1)) * power[: len(units)], out=self.sums[1:])
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (self.sums[high] - self.sums[low]) * self.inverse[low]
+
+    def runs(self, k: int) -> np.ndarray:
+        return (self.sums[k:] - self.sums[:-k]) * self.inverse[: len(self.sums) - k]
+
+
+def _least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """Least value of every `width` neighbours, by doubling."""
+    n, have = len(x) - width + 1, 1
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return x[:n] if have == width else np.minimum(x[:n], x[width - have :][:n])
+
+
+def regions(units: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, content hash, first and last window start of every region of a sequence."""
+    parts = []
+    for at in range(0, len(units) - size + 1, STRETCH):
+        x = units[at : at + STRETCH + size - 1]
+        one, two = Rolling(x, 0), Rolling(x, 1)
+        run = one.runs(k)
+        order = (mixed(run) & ~U(0xFFFFFF)) | np.arange(len(run), dtype=np.uint64)
+        place = (_least_of(order, size - k + 1) & U(0xFFFFFF)).astype(np.int64)
+        cut = np.flatnonzero(place[1:] != place[:-1]) + 1
+        low = np.concatenate([[0], cut])
+        high = np.concatenate([cut - 1, [len(place) - 1]])
+        anchor = place[low]
+        content = mixed(two.of(low, high + size) + mixed(((anchor - low) * SPAN + (high - low)).astype(np.uint64)))
+        parts.append((mixed(run[anchor] + U(k)), content, low + at, high + at))
+    if not parts:
+        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def window_hashes(units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return Rolling(units, 0).runs(size), Rolling(units, 1).runs(size)
+
+
+Units = Callable[[str], np.ndarray]
+
+
+def _anchors(docs: DataFrame, units: Units, size: int, k: int) -> DataFrame:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out: list[list[np.ndarray]] = []
+            rows = 0
+
+            def give() -> pa.RecordBatch:
+                columns = [np.concatenate(c) for c in zip(*out)]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "id", "th", "place"])
+
+            for i, h, t in zip(ids, hashes, batch.column(2).to_pylist()):
+                anchor, content, low, high = regions(units(t), size, k)
+                if len(anchor):
+                    n = len(anchor)
+                    out.append([anchor.view(np.int64), content.view(np.int64), np.full(n, i), np.full(n, h), low * SPAN + (high - low)])
+                    rows += n
+                    if rows > 50_000:
+                        yield give()
+                        out, rows = [], 0
+            if out:
+                yield give()
+
+    return docs.select("id", "th", "text").mapInArrow(make, "anchor long, content long, id long, th long, place long")
+
+
+def _sift(anchors: DataFrame, same_document: bool) -> DataFrame:
+    """removed = true: regions all of whose windows have an equal earlier one. removed = false: first regions under
+    anchors that have regions of other content too, whose windows are still to be compared. Other rows go.
+
+    Rows come sorted by anchor, content and place; a task keeps the state of the last row only.
+    """
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # anchor, content, first id and place of the content, contents of the anchor so far
+        waiting: list[list[np.ndarray]] = []  # first regions of an anchor that has one content so far
+        for batch in batches:
+            anchor, content, doc, th, place = (c.to_numpy() for c in batch.columns)
+            n = len(anchor)
+            if not n:
+                continue
+            new_a, new_c = np.ones(n, bool), np.ones(n, bool)
+            new_a[1:] = anchor[1:] != anchor[:-1]
+            new_c[1:] = new_a[1:] | (content[1:] != content[:-1])
+            if last:
+                new_a[0] = anchor[0] != last[0]
+                new_c[0] = new_a[0] or content[0] != last[1]
+            first = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))
+            first_doc, first_place = doc[first], place[first]
+            if last:
+                first_doc, first_place = np.where(first < 0, last[2], first_doc), np.where(first < 0, last[3], first_place)
+            head = doc == first_doc
+            if same_document:
+                head &= place // SPAN == first_place // SPAN
+            group = np.cumsum(new_a)  # 0: the anchor of the batch before
+            contents = np.bincount(group, weights=new_c, minlength=group[-1] + 1).astype(np.int64)
+            if last and not new_a[0]:
+                contents[0] += last[4]
+            several = contents[group] > 1
+            columns = [anchor, doc, th, place]
+            out = [[c[~head] for c in columns] + [np.ones((~head).sum(), bool)], [c[head & several] for c in columns] + [np.zeros((head & several).sum(), bool)]]
+            if new_a[0]:
+                waiting = []
+            elif contents[0] > 1:
+                out += [[*w, np.zeros(len(w[0]), bool)] for w in waiting]
+                waiting = []
+            if contents[-1] == 1:
+                if group[-1] > 0:
+                    waiting = []
+                hold = head & (group == group[-1])
+                waiting.append([c[hold] for c in columns])
+            elif group[-1] > 0:
+                waiting = []
+            last = anchor[-1], content[-1], first_doc[-1], first_place[-1], contents[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["anchor", "id", "th", "place", "removed"])
+
+    by = anchors.repartition("anchor").sortWithinPartitions("anchor", "content", "id", "place")
+    return by.mapInArrow(sift, "anchor long, id long, th long, place long, removed boolean")
+
+
+def _settle(open_: DataFrame, docs: DataFrame, units: Units, size: int, same_document: bool) -> DataFrame:
+    """id, th, start of the windows of open regions that have an equal earlier window under their anchor."""
+    by_text = open_.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "place")).alias("open"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, h, t, rows in zip(*[c.to_pylist() for c in batch.columns]):
+                x = units(t)
+                for some in range(0, len(rows), 2000):
+                    part = rows[some : some + 2000]
+                    low, more = np.divmod(np.array([r["place"] for r in part], np.int64), SPAN)
+                    content = [x[a : a + m + size].tobytes() for a, m in zip(low, more)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in part]), pa.array([i] * len(part)), pa.array([h] * len(part)), pa.array(low), pa.array(content, pa.binary())], ["anchor", "id", "th", "low", "units"])
+
+    cuts = docs.select("id", "th", "text").join(by_text, ["id", "th"]).mapInArrow(cut, "anchor long, id long, th long, low long, units binary")
+
+    def windows(rows: list[tuple], kind: np.dtype) -> list[np.ndarray]:
+        """id, th, start, and two hashes of each window of some regions."""
+        out = []
+        for _, i, h, low, raw in rows:
+            a, b = window_hashes(np.frombuffer(raw, kind).astype(np.uint64, copy=False), size)
+            out.append((np.full(len(a), i), np.full(len(a), h), low + np.arange(len(a)), a, b))
+        return [np.concatenate(c) for c in zip(*out)]
+
+    kind = units("").dtype
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        whole, before = True, None
+
+        def give(last: bool) -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 or not whole:
+                i, h, start, a, b = windows(held, kind)
+                if whole and last:  # all of the anchor is here
+                    order = np.lexsort((start, i, b, a))
+                    i, h, start, a, b = (c[order] for c in (i, h, start, a, b))
+                    new = np.ones(len(a), bool)
+                    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                    first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+                    later = i > i[first]
+                    if same_document:
+                        later |= (i == i[first]) & (start > start[first])
+                    i, h, start, a, b = (c[later] for c in (i, h, start, a, b))
+                    settled = np.ones(len(i), bool)
+                else:
+                    settled = np.zeros(len(i), bool)
+                for k in range(0, len(i), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in (i, h, start, a.view(np.int64), b.view(np.int64), settled)], ["id", "th", "start", "h1", "h2", "settled"])
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[0] != before:
+                    yield from give(True)
+                    held, whole, before = [], True, row[0]
+                elif len(held) >= TOGETHER:
+                    whole = False
+                    yield from give(False)
+                    held = []
+                held.append(row)
+        yield from give(True)
+
+    schema = "id long, th long, start long, h1 long, h2 long, settled boolean"
+    found = written(cuts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, schema), "windows")
+    # Windows of anchors with more regions than one task compares meet by their own hashes.
+    rest = found.where("NOT settled").withColumn("at", F.struct("id", "start") if same_document else F.struct("id"))
+    rest = attach_group(rest, ["h1", "h2"], ["id", "start"], first=(F.min("at"), F.min)).where("at > first")
+    return found.where("settled").select("id", "th", "start").union(rest.select("id", "th", "start"))
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """id (doc_id), th (the text's hash) and text of the rows that have both."""
+    return docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+
+
+def repeated_spans(docs: DataFrame, units: Units, size: int, k: int, same_document: bool, text: str = "text") -> DataFrame:
+    """id, th and spans (array of start and end, in units) of the texts that have repeated windows.
+
+    A window is repeated if an equal one starts in a document with a smaller id or, with same_document, earlier in
+    the same document. Spans may overlap.
+    """
+    known = keyed(docs, text)
+    sifted = written(_sift(_anchors(known, units, size, k), same_document), "regions")
+    whole = sifted.where("removed").select("id", "th", F.floor(F.col("place") / SPAN).alias("start"), (F.floor(F.col("place") / SPAN) + F.col("place") % SPAN + size).alias("end"))
+    settled = _settle(sifted.where("NOT removed"), known, units, size, same_document)
+    spans = whole.union(settled.select("id", "th", "start", (F.col("start") + size).alias("end")))
+    return spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Maximal runs covered by spans, in order; runs that touch are one."""
+    if not spans:
+        return []
+    s = np.array(sorted((x["start"], x["end"]) for x in spans), dtype=np.int64)
+    reach = np.maximum.accumulate(s[:, 1])
+    new = np.concatenate([[True], s[1:, 0] > reach[:-1]])
+    at = np.flatnonzero(new)
+    return list(zip(s[at, 0].tolist(), reach[np.append(at[1:] - 1, len(s) - 1)].tolist()))
