@@ -70,7 +70,7 @@ def permuted(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     while todo.any():
         left, right, m = x[todo] >> half[todo], x[todo] & mask[todo], mask[todo]
         for step in range(6):
-            z = right ^ (key[todo] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+            z = right ^ (key[todo] + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
             z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((z ^ (z >> np.uint64(31))) & m)

@@ -76,7 +76,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         ratio(dup, lines).alias("dup_line_ratio"),
         ratio(F.col("_r"), F.col("_n")).alias("repeat_word_ratio"),
     )
-    return counted.select(*docs.columns, out.alias("quality"))
+    # Behind a generator: a filter on the measures is not pushed into them, which would compute them once for each use.
+    return counted.select(*docs.columns, F.explode(F.array(out)).alias("quality"))
 
 
 def passes(rules=RULES, column: str = "quality") -> Column:

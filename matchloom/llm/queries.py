@@ -92,8 +92,8 @@ FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)""",
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM d),
 n AS (SELECT d.doc_id, count(x) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
-i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= 80 * (p.n + q.n - both)),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 c AS (SELECT doc_id AS node, doc_id AS least FROM documents UNION SELECT e.b, c.least FROM c JOIN e ON e.a = c.node WHERE c.least < e.b)
 SELECT n.doc_id, n.n AS n_shingles, min(least) AS component_id, n.doc_id = min(least) AS kept FROM n JOIN c ON c.node = n.doc_id GROUP BY n.doc_id, n.n""",
