@@ -21,7 +21,7 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_chars", 2.0, 14.0),
     ("symbol_ratio", None, 0.10),
     ("stop_word_ratio", 0.02, None),
-    ("dup_line_ratio", None, 0.30),
+    ("dup_line_ratio", None, 0.40),
     ("repeat_word_ratio", None, 0.50),
 )
 
