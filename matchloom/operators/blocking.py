@@ -68,7 +68,9 @@ def vector_pass(queries: DataFrame, pool: DataFrame, k: int = 20, block: str = "
         return pd.DataFrame({"s1_id": np.repeat(left["s1_id"].to_numpy(), n), "pool_id": right["pool_id"].to_numpy()[best.ravel()], "emb_score": np.take_along_axis(score, best, axis=1).ravel()})
 
     keys = [F.col(block), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")]
-    q, p = q.select(*keys, "s1_id", "embedding"), p.select(*keys, "pool_id", "embedding")
+    # New names for both sides, which may come from one table.
+    keys = [F.col(block).alias(block), *keys[1:]]
+    q, p = (df.select(*keys, F.col(i).alias(i), F.col("embedding").alias("embedding")) for df, i in ((q, "s1_id"), (p, "pool_id")))
     found = q.groupBy(block, "x", "y").cogroup(p.groupBy(block, "x", "y")).applyInPandas(tile, f"s1_id {kinds[0]}, pool_id {kinds[1]}, emb_score double")
     order = W.partitionBy("s1_id").orderBy(F.desc(F.round("emb_score", 9)), "pool_id")
     return found.withColumn("emb_rank", F.row_number().over(order)).where(F.col("emb_rank") <= k)

@@ -7,6 +7,7 @@ for texts, embeddings for vectors.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,9 +210,9 @@ def prob_blend(spark, d):
     return blends.blend(p.select("s1_id", "pool_id", "prob"), p.select("s1_id", "pool_id", "ce_prob"), "prob", 0.7).select("s1_id", "pool_id", *R6("prob"))
 
 
-@query(f"WITH {PAIRS}, {DIM} SELECT s1_id, pool_id, round(CASE WHEN country = 'FRANCE' THEN {SIG(LOGIT('prob') + ' - 1.25')} ELSE prob END, 6) AS prob FROM pairs LEFT JOIN dim USING (s1_id)")
+@query(f"WITH {PAIRS}, {DIM} SELECT s1_id, pool_id, round(CASE WHEN country = 'NATION_3' THEN {SIG(LOGIT('prob') + ' - 1.25')} ELSE prob END, 6) AS prob FROM pairs LEFT JOIN dim USING (s1_id)")
 def shift_scores(spark, d):
-    return blends.shift_variants(pairs_of(spark, d), dimension_of(spark, d), "FRANCE:-1.25")[-1.25].select("s1_id", "pool_id", *R6("prob"))
+    return blends.shift_variants(pairs_of(spark, d), dimension_of(spark, d), "NATION_3:-1.25")[-1.25].select("s1_id", "pool_id", *R6("prob"))
 
 
 _FILL = f"{SIG(f'0.5 * {LOGIT("prob")} + 0.5 * {LOGIT("ce_prob")}')}"
@@ -225,10 +226,10 @@ def fill_scores(spark, d):
 
 def _unseen(spark, d):
     dim = dimension_of(spark, d)
-    return blends.unseen_entities(dim, dim.where("country < 'M'"))
+    return blends.unseen_entities(dim, dim.where("country < 'NATION_2'"))
 
 
-_UNSEEN = "unseen AS (SELECT s1_id FROM dim WHERE country NOT IN (SELECT country FROM dim WHERE country < 'M'))"
+_UNSEEN = "unseen AS (SELECT s1_id FROM dim WHERE country NOT IN (SELECT country FROM dim WHERE country < 'NATION_2'))"
 
 
 @query(f"WITH {PAIRS}, {DIM}, {_UNSEEN} SELECT s1_id, pool_id, round(CASE WHEN s1_id IN (SELECT s1_id FROM unseen) AND label = 1 THEN prob / 2 ELSE ce_prob END, 6) AS ce_prob FROM pairs")
@@ -463,6 +464,7 @@ def decoy_features(spark, d):
 
 def entities(spark, d):
     h = tx.normalize(heads(spark, d).withColumn("country", F.col("lang"))).withColumn("entity_id", F.col("doc_id")).withColumn("source", F.lit(2))
+    h = h.persist(StorageLevel.DISK_ONLY)  # as the normalize stage's table: the views are not computed anew for each use
     return h.where("doc_id % 3 = 0"), h.where("doc_id % 3 <> 0")
 
 
