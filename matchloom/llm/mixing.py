@@ -165,10 +165,12 @@ class Mix:
         """
         docs, columns = self.docs, self.docs.columns
         at, length = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1
-        parts = self.taken_pieces().groupBy("id0", "th", "source", "k").agg(F.collect_list(F.struct("from_word", "n_words", "times")).alias("_parts"))
-        parts = parts.select("id0", "th", F.coalesce("source", F.lit("")).alias("_s"), F.isnull("source").alias("_n"), "k", "_parts")
-        keyed = docs.withColumn("id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("th", F.xxhash64("text")).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.isnull("source"))
-        keyed = keyed.withColumn("k", F.row_number().over(W.partitionBy("id0", "th", "_s", "_n").orderBy("text")))
+        parts = self.taken_pieces().groupBy("id0", "th", "source", "k").agg(F.collect_list(F.struct("from_word", "n_words", "times")).alias("parts"))
+        parts = parts.select("id0", "th", F.coalesce("source", F.lit("")).alias("s"), F.isnull("source").alias("n"), "k", "parts")
+        # The rows travel as one column, so that no name of theirs meets one of ours.
+        row, c = F.struct("*").alias("row"), F.col
+        keyed = docs.select(row, F.coalesce(c("doc_id").cast("long"), F.lit(-(2**63))).alias("id0"), F.xxhash64("text").alias("th"), F.coalesce("source", F.lit("")).alias("s"), F.isnull("source").alias("n"))
+        keyed = keyed.withColumn("k", F.row_number().over(W.partitionBy("id0", "th", "s", "n").orderBy("row.text")))
         schema = docs.schema
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,4 +202,4 @@ class Mix:
                     arrays[length] = pa.array(chars, arrays[length].type)
                 yield pa.RecordBatch.from_arrays(arrays, columns)
 
-        return keyed.join(parts, ["id0", "th", "_s", "_n", "k"]).select(*columns, "_parts").mapInArrow(cut, schema)
+        return keyed.join(parts, ["id0", "th", "s", "n", "k"]).select("row.*", F.col("parts").alias("parts of the mix")).mapInArrow(cut, schema)

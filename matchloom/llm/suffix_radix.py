@@ -81,7 +81,7 @@ def _with_spans(docs: DataFrame, spans: DataFrame, text: str) -> DataFrame:
     """docs' columns and _spans, null where a text has no repeats."""
     right = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
     on = (docs["doc_id"].cast("long") == right["_id"]) & (F.xxhash64(docs[text]) == right["_th"])
-    return docs.join(right, on, "left").select(*[docs[c] for c in docs.columns], "_spans")
+    return docs.join(right, on, "left").select(*[docs[c] for c in docs.columns], right["_spans"])
 
 
 def removed_documents(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
