@@ -10,14 +10,15 @@ from matchloom.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.measures(docs)
-    return judged.where(~quality.base_failed() & quality.passes()).select(*docs.columns)
+    judged = quality.measures(docs.select(F.struct("*").alias("row"), "text"))
+    return judged.where(~quality.base_failed() & quality.passes()).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id."""
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, (docs["doc_id"] == kept["_kept"]), "left").where("doc_id IS NULL OR _kept IS NOT NULL").drop("_kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"))
+    return rows.join(kept, F.col("_id") == F.col("_kept"), "left").where("_id IS NULL OR _kept IS NOT NULL").select("row.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
