@@ -98,7 +98,29 @@ def window_hashes(units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
 Units = Callable[[str], np.ndarray]
 
 
-def _anchors(docs: DataFrame, units: Units, size: int, k: int) -> DataFrame:
+def _first_here(columns: list[np.ndarray], same_document: bool) -> np.ndarray:
+    """Of rows (anchor, content, id, th, place): whether no row here of equal content is earlier."""
+    anchor, content, doc, _, place = columns
+    order = np.lexsort((place, doc, content, anchor))
+    a, c, d, p = (x[order] for x in (anchor, content, doc, place))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+    head = d == d[first]
+    if same_document:
+        head &= p // SPAN == p[first] // SPAN
+    out = np.empty(len(a), bool)
+    out[order] = head
+    return out
+
+
+def _anchors(docs: DataFrame, units: Units, size: int, k: int, same_document: bool) -> DataFrame:
+    """anchor, content, id, th, place and gone of every region.
+
+    A region with an equal earlier one in the same batch is gone already: it keeps no anchor but a key of its own, so
+    that copies of one passage do not meet in one task; a batch sends on the first of its copies.
+    """
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -107,7 +129,10 @@ def _anchors(docs: DataFrame, units: Units, size: int, k: int) -> DataFrame:
 
             def give() -> pa.RecordBatch:
                 columns = [np.concatenate(c) for c in zip(*out)]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "id", "th", "place"])
+                gone = ~_first_here(columns, same_document)
+                own = mixed(columns[2][gone].view(U) * U(BASES[0]) + columns[4][gone].view(U)).view(np.int64)
+                columns[0][gone], columns[1][gone] = own, own
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, gone]], ["anchor", "content", "id", "th", "place", "gone"])
 
             for i, h, t in zip(ids, hashes, batch.column(2).to_pylist()):
                 anchor, content, low, high = regions(units(t), size, k)
@@ -121,7 +146,7 @@ def _anchors(docs: DataFrame, units: Units, size: int, k: int) -> DataFrame:
             if out:
                 yield give()
 
-    return docs.select("id", "th", "text").mapInArrow(make, "anchor long, content long, id long, th long, place long")
+    return docs.select("id", "th", "text").mapInArrow(make, "anchor long, content long, id long, th long, place long, gone boolean")
 
 
 def _sift(anchors: DataFrame, same_document: bool) -> DataFrame:
@@ -135,7 +160,11 @@ def _sift(anchors: DataFrame, same_document: bool) -> DataFrame:
         last = None  # anchor, content, first id and place of the content, contents of the anchor so far
         waiting: list[list[np.ndarray]] = []  # first regions of an anchor that has one content so far
         for batch in batches:
-            anchor, content, doc, th, place = (c.to_numpy() for c in batch.columns)
+            *columns, gone = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if gone.any():
+                done = [columns[i][gone] for i in (0, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*done, np.ones(len(done[0]), bool)]], ["anchor", "id", "th", "place", "removed"])
+            anchor, content, doc, th, place = (c[~gone] for c in columns)
             n = len(anchor)
             if not n:
                 continue
@@ -259,7 +288,7 @@ def repeated_spans(docs: DataFrame, units: Units, size: int, k: int, same_docume
     the same document. Spans may overlap.
     """
     known = keyed(docs, text)
-    sifted = written(_sift(_anchors(known, units, size, k), same_document), "regions")
+    sifted = written(_sift(_anchors(known, units, size, k, same_document), same_document), "regions")
     whole = sifted.where("removed").select("id", "th", F.floor(F.col("place") / SPAN).alias("start"), (F.floor(F.col("place") / SPAN) + F.col("place") % SPAN + size).alias("end"))
     settled = _settle(sifted.where("NOT removed"), known, units, size, same_document)
     spans = whole.union(settled.select("id", "th", "start", (F.col("start") + size).alias("end")))
