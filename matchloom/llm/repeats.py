@@ -20,7 +20,7 @@ U = np.uint64
 #: Odd bases of the two rolling hashes, fixed values.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Units of a text that are treated at once, and regions of one anchor that are compared in one task.
-STRETCH, TOGETHER = 1 << 21, 4096
+STRETCH, TOGETHER = 1 << 21, 512
 #: A region's place: start * SPAN + how many more windows it has.
 SPAN = 1 << 12
 
@@ -209,7 +209,10 @@ def _sift(anchors: DataFrame, same_document: bool) -> DataFrame:
 
 def _settle(open_: DataFrame, docs: DataFrame, units: Units, size: int, same_document: bool) -> DataFrame:
     """id, th, start of the windows of open regions that have an equal earlier window under their anchor."""
-    by_text = open_.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "place")).alias("open"))
+    # Anchors with many regions are dealt to parts of TOGETHER regions at most, about.
+    open_ = attach_group(open_, ["anchor"], ["id", "place"], parts=(F.count("*"), lambda n: F.ceil(F.sum(n) / TOGETHER)))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("anchor", "id", "place"), F.col("parts"))).otherwise(F.lit(0)).cast("long")
+    by_text = open_.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "place", part.alias("part"), (F.col("parts") == 1).alias("whole"))).alias("open"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,14 +222,15 @@ def _settle(open_: DataFrame, docs: DataFrame, units: Units, size: int, same_doc
                     part = rows[some : some + 2000]
                     low, more = np.divmod(np.array([r["place"] for r in part], np.int64), SPAN)
                     content = [x[a : a + m + size].tobytes() for a, m in zip(low, more)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in part]), pa.array([i] * len(part)), pa.array([h] * len(part)), pa.array(low), pa.array(content, pa.binary())], ["anchor", "id", "th", "low", "units"])
+                    columns = [pa.array([r[k] for r in part]) for k in ("anchor", "part", "whole")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([i] * len(part)), pa.array([h] * len(part)), pa.array(low), pa.array(content, pa.binary())], ["anchor", "part", "whole", "id", "th", "low", "units"])
 
-    cuts = docs.select("id", "th", "text").join(by_text, ["id", "th"]).mapInArrow(cut, "anchor long, id long, th long, low long, units binary")
+    cuts = docs.select("id", "th", "text").join(by_text, ["id", "th"]).mapInArrow(cut, "anchor long, part long, whole boolean, id long, th long, low long, units binary")
 
     def windows(rows: list[tuple], kind: np.dtype) -> list[np.ndarray]:
         """id, th, start, and two hashes of each window of some regions."""
         out = []
-        for _, i, h, low, raw in rows:
+        for _, _, _, i, h, low, raw in rows:
             a, b = window_hashes(np.frombuffer(raw, kind).astype(np.uint64, copy=False), size)
             out.append((np.full(len(a), i), np.full(len(a), h), low + np.arange(len(a)), a, b))
         return [np.concatenate(c) for c in zip(*out)]
@@ -235,42 +239,37 @@ def _settle(open_: DataFrame, docs: DataFrame, units: Units, size: int, same_doc
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        whole, before = True, None
-
-        def give(last: bool) -> Iterator[pa.RecordBatch]:
-            if len(held) > 1 or not whole:
-                i, h, start, a, b = windows(held, kind)
-                if whole and last:  # all of the anchor is here
-                    order = np.lexsort((start, i, b, a))
-                    i, h, start, a, b = (c[order] for c in (i, h, start, a, b))
-                    new = np.ones(len(a), bool)
-                    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                    first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-                    later = i > i[first]
-                    if same_document:
-                        later |= (i == i[first]) & (start > start[first])
-                    i, h, start, a, b = (c[later] for c in (i, h, start, a, b))
-                    settled = np.ones(len(i), bool)
-                else:
-                    settled = np.zeros(len(i), bool)
-                for k in range(0, len(i), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in (i, h, start, a.view(np.int64), b.view(np.int64), settled)], ["id", "th", "start", "h1", "h2", "settled"])
+
+        def give() -> Iterator[pa.RecordBatch]:
+            whole = not held or held[0][2]
+            if len(held) < 2 and whole:
+                return
+            i, h, start, a, b = windows(held, kind)
+            order = np.lexsort((start, i, b, a))
+            i, h, start, a, b = (c[order] for c in (i, h, start, a, b))
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+            later = i > i[first]
+            if same_document:
+                later |= (i == i[first]) & (start > start[first])
+            # The first ones of a part are still to meet those of the other parts.
+            told = later if whole else np.ones(len(a), bool)
+            i, h, start, a, b, later = (c[told] for c in (i, h, start, a, b, later))
+            for k in range(0, len(i), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in (i, h, start, a.view(np.int64), b.view(np.int64), later)], ["id", "th", "start", "h1", "h2", "settled"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[0] != before:
-                    yield from give(True)
-                    held, whole, before = [], True, row[0]
-                elif len(held) >= TOGETHER:
-                    whole = False
-                    yield from give(False)
+                if held and row[:2] != held[0][:2]:
+                    yield from give()
                     held = []
                 held.append(row)
-        yield from give(True)
+        yield from give()
 
     schema = "id long, th long, start long, h1 long, h2 long, settled boolean"
-    found = written(cuts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, schema), "windows")
-    # Windows of anchors with more regions than one task compares meet by their own hashes.
+    found = written(cuts.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(compare, schema), "windows")
+    # First windows of an anchor's parts meet by their own hashes.
     rest = found.where("NOT settled").withColumn("at", F.struct("id", "start") if same_document else F.struct("id"))
     rest = attach_group(rest, ["h1", "h2"], ["id", "start"], first=(F.min("at"), F.min)).where("at > first")
     return found.where("settled").select("id", "th", "start").union(rest.select("id", "th", "start"))

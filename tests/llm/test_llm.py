@@ -160,7 +160,7 @@ def plain_repeats(texts, size):
     return out
 
 
-@pytest.mark.parametrize("size, together", [(100, 4096), (20, 4096), (20, 3)])
+@pytest.mark.parametrize("size, together", [(100, 512), (20, 512), (20, 3)])
 def test_repeated_bytes(spark, monkeypatch, size, together):
     from matchloom.llm import repeats
 
