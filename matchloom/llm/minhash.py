@@ -18,6 +18,8 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, and how far below the threshold an estimate may be (five standard deviations of it).
 SKETCH_BITS, MARGIN = 512, 0.20
+#: Bits of the sketch of whole sets, which settles what the other leaves open.
+WIDE_BITS = 4096
 #: Rows of a bucket that are compared at once, and pairs of a row that are given out before links are known.
 BLOCK, EARLY_PAIRS = 1024, 4
 #: Words remembered by a worker.
@@ -93,9 +95,30 @@ def estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return 1 - differ / (2 * SAMPLES)
 
 
+def wide_sketch(elements: np.ndarray) -> np.ndarray:
+    """The odd sketch of every element, each as its own sample: sizes of differences, nearly exact."""
+    bits = np.bincount((mixed(elements ^ U(0x2545F4914F6CDD1D)) % U(WIDE_BITS)).astype(np.int64), minlength=WIDE_BITS).astype(np.uint8) & 1
+    return np.packbits(bits)
+
+
+def wide_odds(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    odd = np.zeros((len(left), len(right)), np.int32)
+    for w in range(left.shape[1]):
+        odd += np.bitwise_count(left[:, w, None] ^ right[None, :, w])
+    return odd
+
+
+def wide_limits(total: np.ndarray, least: float) -> np.ndarray:
+    """Bits that may differ between sets of so many elements in all, if they are as similar as `least`: the expected
+    number and six standard deviations."""
+    d = total * (1 - least) / (1 + least)
+    e2, e4 = np.exp(-2 * d / WIDE_BITS), np.exp(-4 * d / WIDE_BITS)
+    return WIDE_BITS / 2 * (1 - e2) + 6 * np.sqrt(np.maximum(WIDE_BITS / 4 * (1 - e4) - d * e4, 0)) + 1
+
+
 def features(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (a digest of the set), bands and sketch of every row."""
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
+    """doc_id, n_shingles, s1 and s2 (a digest of the set), bands, sketch and wide sketch of every row."""
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary, wide binary"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_cache("word_hashes", WordHashes)
@@ -104,13 +127,13 @@ def features(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, shingle, hashes)
                 if not len(s):
-                    rows.append((0, 0, 0, [], b""))
+                    rows.append((0, 0, 0, [], b"", b""))
                     continue
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 least = samples(s)
-                rows.append((len(s), int(digest[0]), int(digest[1]), band_keys(least).view(np.int64), odd_sketch(least).tobytes()))
+                rows.append((len(s), int(digest[0]), int(digest[1]), band_keys(least).view(np.int64), odd_sketch(least).tobytes(), wide_sketch(s).tobytes()))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], [x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(make, schema)
@@ -185,18 +208,17 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, text: str = "text") -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar enough: 100 |A & B| >= percent |A | B|.
 
-    A pair's texts meet in one task, those of a document with many partners in several; sets are made anew there, one
+    texts: id and t of all documents named. A pair's texts meet in one task, those of a document with many partners in several; sets are made anew there, one
     partner at a time.
     """
     by = pairs.distinct().withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
     firsts = by.select(F.col("a").alias("hub"), "part").distinct().withColumn("id", F.col("hub"))
     others = by.select(F.col("a").alias("hub"), "part", F.col("b").alias("id"))
     needed = firsts.union(others)
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("t"))
-    rows = needed.join(texts, "id").select("hub", "part", (F.col("id") != F.col("hub")).alias("other"), "id", "t")
+    rows = needed.join(texts.hint("merge"), "id").select("hub", "part", (F.col("id") != F.col("hub")).alias("other"), "id", "t")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_cache("word_hashes", WordHashes)
@@ -222,8 +244,8 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
 
     Rows of a bucket are compared in blocks by their sketches; a large bucket is dealt to blocks anew in each band.
     Few similar pairs are given out as they are; of many, those of a forest that spans them by their likeliest links
-    come first. Once those are confirmed and joined to components, pairs across components that the sketches still
-    allow are given out, all of them, so no link between components is missed.
+    come first. Once those are confirmed and joined to components, sketches of the whole sets do the same for pairs
+    across components, and at last all pairs that these allow are given out, so no link between components is missed.
     """
     least = percent / 100
     rows = found.select("rep", "n", "sketch", F.explode("bands").alias("key"))
@@ -245,42 +267,62 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
             columns = np.append(np.minimum(a, b), key[0] if open_ else 0), np.append(np.maximum(a, b), 0), mark, mark & open_
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "mark", "open"])
 
+    # The texts that may have to be compared, found by one shuffle for all rounds.
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("t"))
+    texts = written(own.hint("merge").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
+
     sorted_ = members.select("key", "block", "rep", "n", "sketch", "blocks").repartition("key", "block").sortWithinPartitions("key", "block", "rep")
-    seen = written(sorted_.mapInArrow(first, "a long, b long, mark boolean, open boolean").where("a < b OR open").distinct(), "pairs")
-    links = written(confirmed(seen.where("NOT mark").select("a", "b"), docs, shingle, percent, text), "links")
+    marked = "a long, b long, mark boolean, open boolean"
+    seen = written(sorted_.mapInArrow(first, marked).where("a < b OR open").distinct(), "pairs")
+    links = written(confirmed(seen.where("NOT mark").select("a", "b"), texts, shingle, percent), "links")
     tree = written(components(links), "tree")
-    unsettled = seen.where("mark").select(F.col("a").alias("key"))
-    if not unsettled.limit(1).count():
-        return tree
-
-    # Buckets that still hold several components: every pair of their blocks is a tile of its own.
-    rest = members.join(unsettled.distinct(), "key", "left_semi").join(tree, F.col("rep") == F.col("node"), "left")
-    rest = rest.select("key", "rep", "n", "sketch", "blocks", "block", F.coalesce("component", "rep").alias("c"))
-    several = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    tiles = rest.join(several, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "sketch", "c")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, x, y, block, rep, n, sketch, c in _groups(batches, 3):
-            s, m = _words(sketch), len(rep)
-            if (c == c[0]).all():
-                continue
-            for i in range(0, m, BLOCK):
-                for j in range(0, m, BLOCK):
-                    at, to = slice(i, min(m, i + BLOCK)), slice(j, min(m, j + BLOCK))
-                    hit = _near(n, s, at, to, least) > least - MARGIN
-                    hit &= (c[at, None] != c[None, to]) & (rep[at, None] < rep[None, to])
-                    if x[0] != y[0]:
-                        hit &= block[at, None] != block[None, to]
-                    p, q = np.nonzero(hit)
-                    if len(p):
-                        yield _pairs_batch(rep[at][p], rep[to][q])
-
-    more = written(tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(across, "a long, b long").distinct(), "pairs")
-    if not more.limit(1).count():
-        return tree
-    found_more = confirmed(more, docs, shingle, percent, text)
-    return written(components(links.union(found_more)), "tree")
+    unsettled = seen.where("mark").select(F.col("a").alias("key")).distinct()
+    wide = found.select("rep", "wide")
+
+    def across(whole: bool):
+        """Pairs of a tile across components. If they are many: whole gives them all, else those of a forest."""
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, x, y, block, rep, n, sketch, c in _groups(batches, 3):
+                if (c == c[0]).all():
+                    continue
+                s, total = _words(sketch), n[:, None] + n[None, :]
+                odd = wide_odds(s, s)
+                fits = np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9
+                hit = fits & (odd <= wide_limits(total, least)) & (c[:, None] != c[None, :])
+                if x[0] != y[0]:
+                    hit &= block[:, None] != block[None, :]
+                a, b = np.nonzero(np.triu(hit, 1))
+                open_ = not whole and len(a) > EARLY_PAIRS * len(rep)
+                if open_:  # rows of one component hang together already
+                    near = np.where(hit, 1 - odd / np.maximum(total, 1), np.where(c[:, None] == c[None, :], 2.0, -1.0))
+                    a, b = spanning_forest(near, -0.5)
+                    new = c[a] != c[b]
+                    a, b = a[new], b[new]
+                a, b, mark = rep[a], rep[b], np.append(np.zeros(len(a), bool), True)
+                columns = np.append(np.minimum(a, b), key[0] if open_ else 0), np.append(np.maximum(a, b), 0), mark, mark & open_
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["a", "b", "mark", "open"])
+
+        return pairs
+
+    # Buckets that still hold several components, by the sketches of whole sets: every pair of their blocks is a tile.
+    for whole in (False, True):
+        if not unsettled.limit(1).count():
+            break
+        rest = members.join(unsettled, "key", "left_semi").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
+        rest = rest.select("key", "rep", "n", "blocks", "block", F.coalesce("component", "rep").alias("c"))
+        several = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        tiles = rest.join(several, "key", "left_semi").join(wide, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        tiles = tiles.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "wide", "c")
+        by = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
+        seen = written(by.mapInArrow(across(whole), marked).where("a < b OR open").distinct(), "pairs")
+        more = seen.where("NOT mark").select("a", "b")
+        if not more.limit(1).count():
+            break
+        links = written(links.union(confirmed(more, texts, shingle, percent)), "links")
+        tree = written(components(links), "tree")
+        unsettled = seen.where("mark").select(F.col("a").alias("key")).distinct()
+    return tree
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -296,7 +338,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     classes = attach_group(full.select("doc_id", "n_shingles", "s1", "s2"), ["s1", "s2", "n_shingles"], ["doc_id"], rep=(F.min("doc_id"), F.min))
     classes = written(classes.select("doc_id", "n_shingles", "s1", "s2", "rep").distinct(), "classes")
     heads = classes.where("doc_id = rep").select(F.col("doc_id").alias("rep"), "s1", "s2")
-    found = full.withColumnRenamed("doc_id", "rep").join(heads, ["rep", "s1", "s2"], "left_semi").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch").distinct()
+    found = full.withColumnRenamed("doc_id", "rep").join(heads, ["rep", "s1", "s2"], "left_semi").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch", "wide").distinct()
     tree = link_classes(written(found, "heads"), docs, shingle, percent, text)
     # A class takes its representative's component; hot classes are spread over tasks.
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")
