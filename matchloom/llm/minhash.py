@@ -117,8 +117,8 @@ def wide_limits(total: np.ndarray, least: float) -> np.ndarray:
 
 
 def features(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (a digest of the set), bands, sketch and wide sketch of every row."""
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary, wide binary"
+    """doc_id, n_shingles, s1 and s2 (a digest of the set), bands, sketch, wide sketch and the bands' bytes of every row."""
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary, wide binary, packed binary"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_cache("word_hashes", WordHashes)
@@ -127,13 +127,14 @@ def features(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, shingle, hashes)
                 if not len(s):
-                    rows.append((0, 0, 0, [], b"", b""))
+                    rows.append((0, 0, 0, [], b"", b"", b""))
                     continue
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 least = samples(s)
-                rows.append((len(s), int(digest[0]), int(digest[1]), band_keys(least).view(np.int64), odd_sketch(least).tobytes(), wide_sketch(s).tobytes()))
+                keys = band_keys(least).view(np.int64)
+                rows.append((len(s), int(digest[0]), int(digest[1]), keys, odd_sketch(least).tobytes(), wide_sketch(s).tobytes(), keys.tobytes()))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], [x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(make, schema)
@@ -240,7 +241,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 
 def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int, text: str = "text") -> DataFrame:
-    """node, component of the representatives (rows of found: rep, n, bands, sketch) that are linked to others.
+    """node, component of the representatives (rows of found: rep, n, bands, sketch, wide, packed) that are linked to others.
 
     Rows of a bucket are compared in blocks by their sketches; a large bucket is dealt to blocks anew in each band.
     Few similar pairs are given out as they are; of many, those of a forest that spans them by their likeliest links
@@ -277,15 +278,17 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
     links = written(confirmed(seen.where("NOT mark").select("a", "b"), texts, shingle, percent), "links")
     tree = written(components(links), "tree")
     unsettled = seen.where("mark").select(F.col("a").alias("key")).distinct()
-    wide = found.select("rep", "wide")
+    wide = found.select("rep", "wide", "packed")
 
     def across(whole: bool):
         """Pairs of a tile across components. If they are many: whole gives them all, else those of a forest."""
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for key, x, y, block, rep, n, sketch, c in _groups(batches, 3):
+            for key, x, y, block, rep, n, sketch, bands, c in _groups(batches, 3):
                 if (c == c[0]).all():
                     continue
+                bands = _words(bands).view(np.int64)
+                before = bands[:, : int(np.flatnonzero(bands[0] == key[0])[0])]
                 s, total = _words(sketch), n[:, None] + n[None, :]
                 odd = wide_odds(s, s)
                 fits = np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9
@@ -293,9 +296,12 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
                 if x[0] != y[0]:
                     hit &= block[:, None] != block[None, :]
                 a, b = np.nonzero(np.triu(hit, 1))
+                new = ~(before[a] == before[b]).any(axis=1)  # a pair belongs to the first bucket that has both
+                a, b = a[new], b[new]
                 open_ = not whole and len(a) > EARLY_PAIRS * len(rep)
                 if open_:  # rows of one component hang together already
-                    near = np.where(hit, 1 - odd / np.maximum(total, 1), np.where(c[:, None] == c[None, :], 2.0, -1.0))
+                    near = np.where(c[:, None] == c[None, :], 2.0, -1.0)
+                    near[a, b] = near[b, a] = 1 - odd[a, b] / total[a, b]
                     a, b = spanning_forest(near, -0.5)
                     new = c[a] != c[b]
                     a, b = a[new], b[new]
@@ -313,7 +319,7 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
         rest = rest.select("key", "rep", "n", "blocks", "block", F.coalesce("component", "rep").alias("c"))
         several = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
         tiles = rest.join(several, "key", "left_semi").join(wide, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        tiles = tiles.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "wide", "c")
+        tiles = tiles.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "wide", "packed", "c")
         by = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
         seen = written(by.mapInArrow(across(whole), marked).where("a < b OR open").distinct(), "pairs")
         more = seen.where("NOT mark").select("a", "b")
@@ -338,7 +344,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     classes = attach_group(full.select("doc_id", "n_shingles", "s1", "s2"), ["s1", "s2", "n_shingles"], ["doc_id"], rep=(F.min("doc_id"), F.min))
     classes = written(classes.select("doc_id", "n_shingles", "s1", "s2", "rep").distinct(), "classes")
     heads = classes.where("doc_id = rep").select(F.col("doc_id").alias("rep"), "s1", "s2")
-    found = full.withColumnRenamed("doc_id", "rep").join(heads, ["rep", "s1", "s2"], "left_semi").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch", "wide").distinct()
+    found = full.withColumnRenamed("doc_id", "rep").join(heads, ["rep", "s1", "s2"], "left_semi").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch", "wide", "packed").distinct()
     tree = link_classes(written(found, "heads"), docs, shingle, percent, text)
     # A class takes its representative's component; hot classes are spread over tasks.
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")
