@@ -49,8 +49,15 @@ def attach_group(df: DataFrame, keys: list[str], spread_by: list[str], salts: in
 
 
 def worker_cache(name: str, make=dict):
-    """An object kept for the life of a Python worker; it outlasts tasks, which unpickle their functions anew."""
+    """An object kept by a Python worker; it outlasts tasks, which unpickle their functions anew.
+
+    A worker keeps one such object at a time (besides one set of powers): an operator's tables go when the next
+    operator's work begins, so that a job of many operators needs no more memory than its largest.
+    """
     home = sys.modules.setdefault("_matchloom_worker", types.ModuleType("_matchloom_worker"))
+    if name != "powers":
+        for other in [k for k in vars(home) if not k.startswith("__") and k not in (name, "powers")]:
+            delattr(home, other)
     if not hasattr(home, name):
         setattr(home, name, make())
     return getattr(home, name)

@@ -17,7 +17,26 @@ from .common import worker_cache
 
 SPACE = "▁"
 #: Chunks and pairs remembered by a worker; beyond this many a table starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
+
+
+class ChunkIds(dict):
+    """Ids of chunks, in little-endian 32 bits, worked out once each. odd: chunks that do not decode to themselves."""
+
+    def __init__(self, codec: PieceCodec):
+        self.codec, self.odd = codec, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.codec.chunk_ids(chunk)
+        raw = self.codec.decode_bytes(ids)
+        if raw != chunk.replace(SPACE, " ").encode():
+            self.odd[chunk] = raw
+        packed = array("I", ids).tobytes()
+        if len(chunk) < 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = packed
+        return packed
 
 
 class PieceCodec:
@@ -60,7 +79,7 @@ class PieceCodec:
         self.fits: dict[tuple[str, str], bool] = {}
         alone = "".join(map(re.escape, "".join(c for c in "\n\t" if all(c not in p or p == c for p in self.id))))
         self.chunks = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known = ChunkIds(self)
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: the best score first, the leftmost of equals."""
@@ -141,23 +160,21 @@ class PieceCodec:
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def both(self, chunk: str) -> tuple[bytes, bytes]:
-        """A chunk's ids in little-endian 32 bits, and the bytes that they decode to."""
-        found = self.known.get(chunk)
-        if found is None:
-            ids = self.chunk_ids(chunk)
-            found = array("I", ids).tobytes(), self.decode_bytes(ids)
-            if len(chunk) < 64:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.known[chunk] = found
-        return found
+    def both(self, text: str) -> tuple[bytes, bytes]:
+        """A text's ids, without begin and end, and the bytes that they decode to: chunk by chunk, each chunk's ids
+        having been decoded when they were worked out."""
+        chunks = self.split(text)
+        ids = b"".join(map(self.known.__getitem__, chunks))
+        odd = self.known.odd
+        if odd and not odd.keys().isdisjoint(chunks):
+            return ids, b"".join(odd[c] if c in odd else c.replace(SPACE, " ").encode() for c in chunks)
+        return ids, "".join(chunks).replace(SPACE, " ").encode()
 
     def split(self, text: str) -> list[str]:
         return self.chunks(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [self.bos, *array("I", b"".join(self.both(c)[0] for c in self.split(text))), self.eos]
+        return [self.bos, *array("I", self.both(text)[0]), self.eos]
 
     def decode(self, ids: list[int]) -> str:
         """Begin and end say nothing; the space put before the text goes."""
@@ -183,8 +200,8 @@ def code(docs: DataFrame, model: str, text: str = "text", keep: bool = False) ->
         for batch in batches:
             columns: list[list] = [[] for _ in range(5 if keep else 3)]
             for t in batch.column(1).to_pylist():
-                found = list(map(codec.both, codec.split(t or "")))
-                ids, raw = b"".join([begin, *[x[0] for x in found], end]), b"".join([x[1] for x in found])
+                ids, raw = codec.both(t or "")
+                ids = b"".join((begin, ids, end))
                 raw = raw[1:] if raw[:1] == b" " else raw
                 row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()]
                 if keep:
