@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
-A block of lines that may be a license is compressed alone and with each template as a raw zstandard dictionary. The
-template that saves the most bytes is the likeliest; it wins if an exact comparison of wording finds few enough words
-missing or foreign.
+In a block of lines that may be a license, the stretches that share enough runs of words with a template are compared
+with it word by word. A stretch with few enough words missing or foreign is compressed alone and with the template as a
+raw zstandard dictionary; of templates that claim the same words, the one that saves the most bytes wins. Stretches are
+hardly longer than their template, whatever the length of the block and its lines.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -62,6 +64,8 @@ MISSING, FOREIGN = 0.10, 0.15
 #: A line next to a candidate line joins its block if so much of it is in the templates' vocabulary.
 KNOWN_SHARE = 0.8
 LEVEL = 3
+#: Words of a seed. Within MISSING and FOREIGN, a template of any length keeps a run of so many words, or is kept whole.
+SEED = 3
 
 
 def license_words(text: str) -> list[str]:
@@ -74,6 +78,11 @@ class Scanner:
         self.words = [license_words(t) for _, t in templates]
         self.vocabulary = {w for words in self.words for w in words}
         self.cue = re.compile(CUES).search
+        self.seeds: dict[int, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
+        for k, words in enumerate(self.words):
+            n = min(SEED, len(words))
+            for t in range(len(words) - n + 1):
+                self.seeds[n][tuple(words[t : t + n])].append((k, t))
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words
@@ -102,43 +111,77 @@ class Scanner:
                 yield "\n".join(held)
                 held = []
 
-    def savings(self, words: list[str]) -> list[int]:
-        """Bytes that each template saves a block."""
+    def saving(self, words: list[str], template: int) -> int:
+        """Bytes that a template saves a stretch."""
         raw = " ".join(words).encode()
-        size = len(self.alone.compress(raw))
-        return [size - len(c.compress(raw)) for c in self.given]
+        return len(self.alone.compress(raw)) - len(self.given[template].compress(raw))
+
+    def slack(self, template: int) -> tuple[int, int]:
+        """The most words that may be missing and foreign."""
+        return int(MISSING * len(self.words[template])), int(FOREIGN * len(self.words[template]))
+
+    def places(self, words: list[str | None]) -> Iterator[tuple[int, int, int]]:
+        """(template, begin, end) of every part of a block that may hold a template's wording.
+
+        A seed at place p of the block and t of the template puts the template's begin at p - t; a wording within the
+        limits moves its begins by no more than its slack, and loses a bounded number of seeds. So parts left out hold
+        no wording within the limits.
+        """
+        begins = defaultdict(list)
+        for n, seeds in self.seeds.items():
+            for p in range(len(words) - n + 1):
+                for k, t in seeds.get(tuple(words[p : p + n]), ()):
+                    begins[k].append(p - t)
+        for k, at in begins.items():
+            at.sort()
+            size, n = len(self.words[k]), min(SEED, len(self.words[k]))
+            missing, foreign = self.slack(k)
+            moved, least = missing + foreign, max(1, size - (n - 1) - n * missing - (n - 1) * foreign)
+            j = seen = 0
+            for i, begin in enumerate(at):
+                while j < len(at) and at[j] <= begin + moved:
+                    j += 1
+                if j - i >= least and j > seen:  # else all its seeds were in the part before
+                    seen = j
+                    yield k, max(0, begin - moved), min(len(words), begin + size + moved)
+
+    def stretch(self, words: list[str | None], template: int) -> tuple[int, int, int, int]:
+        """Words of the template missing from the stretch that matches it best, foreign words within it, its begin and end."""
+        wording = self.words[template]
+        runs = [m for m in SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if m.size]
+        best = (len(wording), 0, 0, 0)
+        for i in range(len(runs)):
+            matched = 0
+            for m in runs[i:]:
+                matched += m.size
+                length = m.b + m.size - runs[i].b
+                if len(wording) + length - 2 * matched < best[0] + best[1]:
+                    best = (len(wording) - matched, length - matched, runs[i].b, m.b + m.size)
+        return best
 
     def differences(self, words: list[str], template: int) -> tuple[int, int]:
         """Words of the template missing from the block, and foreign words within the stretch that matches it."""
-        wording = self.words[template]
-        runs = [m for m in SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if m.size]
-        if not runs:
-            return len(wording), 0
-        matched = sum(m.size for m in runs)
-        return len(wording) - matched, runs[-1].b + runs[-1].size - runs[0].b - matched
+        return self.stretch(words, template)[:2]
+
+    def confirmed(self, words: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
+        """(bytes saved, template, begin, end) of every stretch whose wording is a template's."""
+        for k, begin, end in self.places(words):
+            missing, foreign, a, b = self.stretch(words[begin:end], k)
+            matched = len(self.words[k]) - missing
+            if missing <= MISSING * len(self.words[k]) and foreign <= FOREIGN * matched and None not in words[begin + a : begin + b]:
+                yield self.saving(words[begin + a : begin + b], k), k, begin + a, begin + b
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int]]]:
         """Candidate blocks, and the licenses confirmed with the bytes they save; a block may name several."""
         n, found = 0, []
         for block in self.blocks(text):
             n += 1
-            words = license_words(block)
-            left = words
-            while left:
-                saved = self.savings(left)
-                order = sorted(range(len(saved)), key=lambda k: (-saved[k], -len(self.words[k]), k))
-                for k in order:
-                    if saved[k] <= 0:
-                        continue
-                    missing, foreign = self.differences(left, k)
-                    matched = len(self.words[k]) - missing
-                    if missing <= MISSING * len(self.words[k]) and foreign <= FOREIGN * matched:
-                        found.append((self.names[k], saved[k]))
-                        runs = [m for m in SequenceMatcher(None, self.words[k], left, autojunk=False).get_matching_blocks() if m.size]
-                        left = left[: runs[0].b] + left[runs[-1].b + runs[-1].size :]
-                        break
-                else:
-                    break
+            words: list[str | None] = list(license_words(block))
+            while claims := sorted(self.confirmed(words), key=lambda c: (-c[0], -len(self.words[c[1]]), *c[1:])):
+                for saved, k, begin, end in claims:
+                    if None not in words[begin:end]:  # else another template has taken some of these words
+                        found.append((self.names[k], saved))
+                        words[begin:end] = [None] * (end - begin)
         return n, found
 
 

@@ -296,6 +296,23 @@ def test_licenses(spark):
         assert scanner.scan(wording)[1][0][0] == name and scanner.differences(words, k) == (0, 0)
 
 
+@pytest.mark.parametrize("n_words", [0, 100, 1000, 5000])
+def test_licenses_in_long_lines(n_words):
+    """A notice within a line of any length is found, at its own savings; so are many in one line."""
+    rnd, scanner = random.Random(n_words), licenses.Scanner()
+    prose = lambda n: " ".join(rnd.choice(["lorem", "of", "the", "software", "ipsum", "is", "in", "dolor"]) + rnd.choice(["", "t", "n"]) for _ in range(n))
+    for name, wording in licenses.TEMPLATES:
+        alone = scanner.scan(wording)[1]
+        assert scanner.scan(f"{prose(n_words)} {wording} {prose(n_words // 2)}") == (1, alone) and alone[0][0] == name
+        if len(licenses.license_words(wording)) > 25:  # one word missing, one foreign
+            changed = wording.split(" ")
+            changed[12] = "zzz"
+            assert [f[0] for f in scanner.scan(f"{prose(n_words)} {' '.join(changed)} {prose(n_words // 2)}")[1]] == [name]
+    many = " ".join(w + " " + prose(7) for _, w in licenses.TEMPLATES * 2)
+    assert Counter(f[0] for f in scanner.scan(many)[1]) == Counter(n for n, _ in licenses.TEMPLATES * 2)
+    assert scanner.scan("All rights reserved. " * 40) == (1, scanner.scan("All rights reserved.")[1] * 40)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 24))
