@@ -49,7 +49,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     (
         "BSD-2-Clause",
-        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     ),
     (
         "ISC",
@@ -66,12 +66,30 @@ KNOWN_SHARE = 0.8
 LEVEL = 3
 #: Words of a seed. Within MISSING and FOREIGN, a template of any length keeps a run of so many words, or is kept whole.
 SEED = 3
+#: Words that tell licenses apart: none may be missing or foreign. "not" and "evil" turn a permission round; the rest of
+#: the second line are words of the third and fourth clauses of BSD.
+TELLING = re.compile(
+    r"affero|lesser|commercial|share-?alike|deriv(?:ative)?s$|^[al]?gpl|(?:^|-)(?:nc|sa|nd)(?:-|$)|^v\d"
+    r"|^(?:neither|endorse|promote|advertising|acknowledge?ments?|not|evil)$"
+)
+#: A number after one of these is a version, and tells too; elsewhere it is the label of a clause, a year or a page.
+BEFORE_VERSION = re.compile(r"^(?:versions?|v|licen[cs]e|universal|[a-z]*gpl|mpl|apache|cc0|by(?:-[a-z-]+)?|.*(?:attribution|sharealike|commercial|deriv(?:ative)?s))$")
+#: Names may be foreign (that of a holder may be anything), but not missing.
+NAMES = frozenset("gnu apache mozilla mit bsd isc creative commons eclipse boost unlicense".split())
 
 
 def license_words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
 
 
+def tells(words: list[str | None], i: int) -> bool:
+    """Whether the word at i tells licenses apart."""
+    word, before = words[i] or "", words[i - 1] if i else None
+    if before == "gnu" and word == "library":  # the older name of the Lesser license
+        return True
+    return bool(TELLING.search(word) or word[:1].isdigit() and BEFORE_VERSION.search(before or ""))
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
@@ -83,6 +101,7 @@ class Scanner:
             n = min(SEED, len(words))
             for t in range(len(words) - n + 1):
                 self.seeds[n][tuple(words[t : t + n])].append((k, t))
+        self.telling = [{t for t in range(len(words)) if words[t] in NAMES or tells(words, t)} for words in self.words]
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words
@@ -145,31 +164,43 @@ class Scanner:
                     seen = j
                     yield k, max(0, begin - moved), min(len(words), begin + size + moved)
 
-    def stretch(self, words: list[str | None], template: int) -> tuple[int, int, int, int]:
-        """Words of the template missing from the stretch that matches it best, foreign words within it, its begin and end."""
+    def stretch(self, words: list[str | None], template: int) -> list:
+        """The matching runs (a, b, size) of the stretch that differs least from the template, in order."""
         wording = self.words[template]
         runs = [m for m in SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if m.size]
-        best = (len(wording), 0, 0, 0)
+        least, best = len(wording), (0, 0)
         for i in range(len(runs)):
             matched = 0
-            for m in runs[i:]:
-                matched += m.size
-                length = m.b + m.size - runs[i].b
-                if len(wording) + length - 2 * matched < best[0] + best[1]:
-                    best = (len(wording) - matched, length - matched, runs[i].b, m.b + m.size)
-        return best
+            for j in range(i, len(runs)):
+                matched += runs[j].size
+                differing = len(wording) + runs[j].b + runs[j].size - runs[i].b - 2 * matched
+                if differing < least:
+                    least, best = differing, (i, j + 1)
+        return runs[slice(*best)]
 
     def differences(self, words: list[str], template: int) -> tuple[int, int]:
         """Words of the template missing from the block, and foreign words within the stretch that matches it."""
-        return self.stretch(words, template)[:2]
+        runs = self.stretch(words, template)
+        matched = sum(m.size for m in runs)
+        return len(self.words[template]) - matched, runs[-1].b + runs[-1].size - runs[0].b - matched if runs else 0
+
+    def agrees(self, words: list[str | None], template: int, runs: list) -> bool:
+        """Whether few enough words differ, none of them telling."""
+        size, matched = len(self.words[template]), sum(m.size for m in runs)
+        inside = range(runs[0].b, runs[-1].b + runs[-1].size) if runs else range(0)
+        if size - matched > MISSING * size or len(inside) - matched > FOREIGN * matched:
+            return False
+        met = {m.a + x for m in runs for x in range(m.size)}, {m.b + x for m in runs for x in range(m.size)}
+        return self.telling[template] <= met[0] and not any(words[i] is None or tells(words, i) for i in inside if i not in met[1])
 
     def confirmed(self, words: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """(bytes saved, template, begin, end) of every stretch whose wording is a template's."""
         for k, begin, end in self.places(words):
-            missing, foreign, a, b = self.stretch(words[begin:end], k)
-            matched = len(self.words[k]) - missing
-            if missing <= MISSING * len(self.words[k]) and foreign <= FOREIGN * matched and None not in words[begin + a : begin + b]:
-                yield self.saving(words[begin + a : begin + b], k), k, begin + a, begin + b
+            part = words[begin:end]
+            runs = self.stretch(part, k)
+            if self.agrees(part, k, runs):
+                a, b = runs[0].b, runs[-1].b + runs[-1].size
+                yield self.saving(part[a:b], k), k, begin + a, begin + b
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int]]]:
         """Candidate blocks, and the licenses confirmed with the bytes they save; a block may name several."""

@@ -313,6 +313,27 @@ def test_licenses_in_long_lines(n_words):
     assert scanner.scan("All rights reserved. " * 40) == (1, scanner.scan("All rights reserved.")[1] * 40)
 
 
+def test_licenses_of_other_names():
+    """Neighbours that differ by a telling word are not given the template's name."""
+    scanner, wordings = licenses.Scanner(), dict(licenses.TEMPLATES)
+    names = lambda text: {f[0] for f in scanner.scan(text)[1]}
+    gpl3, bsd2, mit, isc = wordings["GPL-3.0"], wordings["BSD-2-Clause"], licenses.TEMPLATES[3][1], wordings["ISC"]
+    gpl2 = gpl3.replace(": you can", "; you can").replace("either version 3", "either version 2")
+    lgpl, agpl = (gpl3.replace("GNU General", f"GNU {x} General") for x in ("Lesser", "Affero"))
+    third = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    bsd3 = bsd2.replace("THIS SOFTWARE IS", third + "THIS SOFTWARE IS")
+    assert "GPL-3.0" not in names(gpl2) | names(lgpl) | names(agpl) | names(gpl3.replace("GNU General", "GNU Library General")) and "BSD-2-Clause" not in names(bsd3)
+    creative = "This work is licensed under a Creative Commons Attribution{} {} International License."
+    for kind, version in (("-ShareAlike", "4.0"), ("-NoDerivatives", "4.0"), ("-NonCommercial-ShareAlike", "4.0"), ("", "3.0"), ("-NonCommercial", "3.0")):
+        assert not {"CC-BY-4.0", "CC-BY-NC-4.0"} & names(creative.format(kind, version))
+    assert names(creative.format("", "4.0")) == {"CC-BY-4.0"} and names(creative.format("-NonCommercial", "4.0")) == {"CC-BY-NC-4.0"}
+    assert "MIT" not in names(mit.replace("THE SOFTWARE IS PROVIDED", "The Software shall be used for Good, not Evil. THE SOFTWARE IS PROVIDED", 1))
+    assert "ISC" not in names(isc.replace("any purpose", "any non-commercial purpose"))
+    # Words that tell nothing may differ: labels of clauses, names of holders.
+    labelled = bsd2.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in").replace("BY THE COPYRIGHT HOLDERS", "BY THE APACHE GROUP")
+    assert names(labelled) == {"BSD-2-Clause"} and names(gpl3.replace("This program is free software", "Foo is free software")) == {"GPL-3.0"}
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 24))
