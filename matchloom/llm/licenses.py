@@ -12,6 +12,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from importlib.resources import files
 
 import pyarrow as pa
 import zstandard
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import worker_cache
 
 #: Wordings of common licenses and of the notices that name them.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -53,10 +54,51 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ),
     (
         "ISC",
-        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     ),
     ("Proprietary", "All rights reserved."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software.",
+    ),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("ISC", "Licensed under the ISC License."),
 )
+_GNU = (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"))
+_GNU_NOTICE = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."
+_CREATIVE = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+#: Licenses whose whole text is in license_texts: what states the terms, without headings, examples of use and holders.
+TEXTS = ("0BSD", "Apache-2.0", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib")
+
+
+def _derived() -> Iterator[tuple[str, str]]:
+    """Wordings that differ by a name alone, SPDX tags and whole texts."""
+    for name, kind, version in _GNU:
+        yield name, f"This work is licensed under the GNU {kind} Public License, version {version}."
+        for what in ("program", "library"):
+            yield name, _GNU_NOTICE.format(what=what, kind=kind, version=version)
+        for tag in ("", "-only", "-or-later"):
+            yield name, f"SPDX-License-Identifier: {name}{tag}"
+    for short, long in _CREATIVE:
+        yield f"CC-{short}-4.0", f"Licensed under CC {short} 4.0."
+        yield f"CC-{short}-4.0", f"This work is licensed under a Creative Commons {long} 4.0 International License."
+        yield f"CC-{short}-4.0", f"SPDX-License-Identifier: CC-{short}-4.0"
+    for name in ("0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "EPL-2.0", "ISC", "MPL-2.0", "Unlicense", "Zlib"):
+        yield name, f"SPDX-License-Identifier: {name}"
+    for name in TEXTS:
+        yield name, files(__package__).joinpath("license_texts", f"{name}.txt").read_text("utf-8")
+
+
+TEMPLATES: tuple[tuple[str, str], ...] = NOTICES + tuple(t for t in _derived() if t not in NOTICES)
 #: A line with one of these may belong to a license (fixed values).
 CUES = r"(?i)licen[sc]e|copyright|warrant|spdx-|permission|redistribut|rights reserved|creative commons|\bcc[ -]by\b"
 #: Share of a template's words that may be missing, and of the matched stretch's words that may be foreign.
@@ -67,10 +109,10 @@ LEVEL = 3
 #: Words of a seed. Within MISSING and FOREIGN, a template of any length keeps a run of so many words, or is kept whole.
 SEED = 3
 #: Words that tell licenses apart: none may be missing or foreign. "not" and "evil" turn a permission round; the rest of
-#: the second line are words of the third and fourth clauses of BSD.
+#: the second line are words of the third and fourth clauses of BSD, and of the condition that 0BSD leaves out of ISC.
 TELLING = re.compile(
     r"affero|lesser|commercial|share-?alike|deriv(?:ative)?s$|^[al]?gpl|(?:^|-)(?:nc|sa|nd)(?:-|$)|^v\d"
-    r"|^(?:neither|endorse|promote|advertising|acknowledge?ments?|not|evil)$"
+    r"|^(?:neither|endorse|promote|advertising|acknowledge?ments?|appear|not|evil)$"
 )
 #: A number after one of these is a version, and tells too; elsewhere it is the label of a clause, a year or a page.
 BEFORE_VERSION = re.compile(r"^(?:versions?|v|licen[cs]e|universal|[a-z]*gpl|mpl|apache|cc0|by(?:-[a-z-]+)?|.*(?:attribution|sharealike|commercial|deriv(?:ative)?s))$")
@@ -108,7 +150,7 @@ class Scanner:
         ]
 
     def blocks(self, text: str) -> Iterator[str]:
-        """Runs of lines around lines with a cue; neighbours join while they read like a license, blank lines between them too."""
+        """Runs of lines around lines with a cue; neighbours join while they read like a license, lines without words between them too."""
         lines = text.split("\n")
         member = [bool(self.cue(line)) for line in lines]
         for step in (1, -1):
@@ -123,10 +165,10 @@ class Scanner:
                         open_ = sum(w in self.vocabulary for w in words) >= KNOWN_SHARE * len(words)
                     member[i] = open_ and bool(words)
         held: list[str] = []
-        for line, inside in zip([*lines, "."], [*member, False]):
+        for line, inside in zip([*lines, "end"], [*member, False]):
             if inside:
                 held.append(line)
-            elif held and line.strip():
+            elif held and license_words(line):  # lines without words, rulers among them, count as blank
                 yield "\n".join(held)
                 held = []
 
@@ -156,13 +198,21 @@ class Scanner:
             size, n = len(self.words[k]), min(SEED, len(self.words[k]))
             missing, foreign = self.slack(k)
             moved, least = missing + foreign, max(1, size - (n - 1) - n * missing - (n - 1) * foreign)
-            j = seen = 0
-            for i, begin in enumerate(at):
-                while j < len(at) and at[j] <= begin + moved:
-                    j += 1
-                if j - i >= least and j > seen:  # else all its seeds were in the part before
-                    seen = j
-                    yield k, max(0, begin - moved), min(len(words), begin + size + moved)
+            i = j = 0
+            while i < len(at):
+                # Wordings whose first seed has its begin in at[i] .. at[i] + moved: one part for all, and one closely
+                # around the begin with most seeds, which keeps copies that follow each other apart.
+                first, most, best = at[i], 0, 0
+                while i < len(at) and at[i] <= first + moved:
+                    while j < len(at) and at[j] <= at[i] + moved:
+                        j += 1
+                    if j - i > most:
+                        most, best = j - i, at[i]
+                    i += 1
+                if most >= least:
+                    yield k, max(0, first - moved), min(len(words), first + 2 * moved + size)
+                    if moved:
+                        yield k, max(0, best), min(len(words), best + moved + size)
 
     def stretch(self, words: list[str | None], template: int) -> list:
         """The matching runs (a, b, size) of the stretch that differs least from the template, in order."""
@@ -195,11 +245,15 @@ class Scanner:
 
     def confirmed(self, words: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """(bytes saved, template, begin, end) of every stretch whose wording is a template's."""
+        done: dict[int, int] = {}
         for k, begin, end in self.places(words):
+            if (begin + end) // 2 < done.get(k, 0):  # mostly within a stretch of that name; what is left meets the next round
+                continue
             part = words[begin:end]
             runs = self.stretch(part, k)
             if self.agrees(part, k, runs):
                 a, b = runs[0].b, runs[-1].b + runs[-1].size
+                done[k] = begin + b
                 yield self.saving(part[a:b], k), k, begin + a, begin + b
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int]]]:
