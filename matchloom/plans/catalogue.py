@@ -349,7 +349,7 @@ def vector_gold(spark, d):
 @query(f"WITH {KNN}, {_VGOLD}, g AS (SELECT emb_rank FROM gold LEFT JOIN knn USING (s1_id, pool_id)) SELECT k, round(sum(CASE WHEN emb_rank <= k THEN 1 ELSE 0 END) / count(*), 6) AS recall FROM g, (SELECT unnest([5, 10, 20, 30, 50]) AS k) GROUP BY k")
 def recall_at_k(spark, d):
     q, p = vector_sides(spark, d)
-    return metrics.recall_at(blocking.vector_pass(q, p, 20), "emb_rank", vector_gold(spark, d)).select("k", *R6("recall"))
+    return metrics.recall_at(blocking.vector_pass(q, p, 50), "emb_rank", vector_gold(spark, d)).select("k", *R6("recall"))
 
 
 @query(f"WITH {PAIRS} SELECT round(sum(CASE WHEN prob >= 0.3 THEN 1 ELSE 0 END) / count(*), 6) AS recall, count(*) AS n_gold FROM pairs WHERE label = 1")

@@ -103,6 +103,19 @@ def test_vector_pass_in_tiles(spark):
         assert [got[(f"q{i}", k + 1)] for k in range(3)] == [f"p{j:02}" for j in best]
 
 
+def test_recall_at_k_searches_to_the_largest_k(spark, tmp_path):
+    import numpy as np
+
+    from matchloom.plans import catalogue
+
+    x = np.random.default_rng(6).standard_normal((100, 4))
+    spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pool = [i for i in range(100) if i % 5]
+    ranks = [1 + sorted(pool, key=lambda j: (-round(x[i] @ x[j], 9), j)).index(j) for i in range(0, 100, 5) for j in pool if (i + j) % 7 == 0]
+    got = {r["k"]: r["recall"] for r in catalogue.recall_at_k(spark, str(tmp_path)).collect()}
+    assert got == {k: round(sum(r <= k for r in ranks) / len(ranks), 6) for k in (5, 10, 20, 30, 50)} and got[20] < got[30] < got[50]
+
+
 def test_decoys(spark):
     df = spark.createDataFrame([("a b", "b ccc", "x pvt ltd", "x ltd", "18730 little ln", "1873 little st", 0), ("a", "a", "x sarl", "x sas", "", "5 oak", 1)], "as string, bs string, ac string, bc string, aa string, ba string, i int")
     cols = features.decoy_features(*[F.col(c) for c in ("as", "bs", "ac", "bc", "aa", "ba")])
