@@ -320,7 +320,7 @@ SELECT s1_id, pool_id, round(score, 6) AS tok_score, tok_rank FROM (SELECT *, ro
 )
 def token_block(spark, d):
     q, p = text_sides(spark, d)
-    return blocking.token_pass(q, p, 12, 50).select("s1_id", "pool_id", *R6("tok_score"), "tok_rank")
+    return blocking.token_pass(q, p).select("s1_id", "pool_id", *R6("tok_score"), "tok_rank")
 
 
 def vector_sides(spark, d):
@@ -472,7 +472,7 @@ def entities(spark, d):
 def pair_features(spark, d):
     s1, pool = entities(spark, d)
     side = lambda df, i: df.select(F.col("entity_id").alias(i), F.col("country_norm").alias("country"), tx.token_docs(df).alias("tokens"))
-    cands = blocking.block_all(side(s1, "s1_id"), side(pool, "pool_id"), 5, 50, cap=5)
+    cands = blocking.block_all(side(s1, "s1_id"), side(pool, "pool_id"))
     return features.pair_features(context.global_context(cands), s1, pool)
 
 

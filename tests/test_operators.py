@@ -116,6 +116,19 @@ def test_recall_at_k_searches_to_the_largest_k(spark, tmp_path):
     assert got == {k: round(sum(r <= k for r in ranks) / len(ranks), 6) for k in (5, 10, 20, 30, 50)} and got[20] < got[30] < got[50]
 
 
+def test_token_block_keeps_common_tokens(spark, tmp_path):
+    from collections import Counter
+
+    from matchloom.plans import catalogue
+
+    # "common" is in more than 50 pool records, and a query has no other token in the pool.
+    docs = [(i, "common own%d" % i, "en", "src%d" % (i % 3)) for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.token_block(spark, str(tmp_path)).collect()
+    assert Counter(r["s1_id"] for r in got) == {i: 12 for i in range(0, 120, 3)}
+    assert sorted(r["pool_id"] for r in got if r["s1_id"] == 0) == [i for i in range(1, 18) if i % 3]  # equal scores: by id
+
+
 def test_decoys(spark):
     df = spark.createDataFrame([("a b", "b ccc", "x pvt ltd", "x ltd", "18730 little ln", "1873 little st", 0), ("a", "a", "x sarl", "x sas", "", "5 oak", 1)], "as string, bs string, ac string, bc string, aa string, ba string, i int")
     cols = features.decoy_features(*[F.col(c) for c in ("as", "bs", "ac", "bc", "aa", "ba")])
