@@ -7,6 +7,7 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,15 @@ def worker_cache(name: str, make=dict):
     return getattr(home, name)
 
 
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Least value of every `width` neighbours, by doubling."""
+    n, have = len(x) - width + 1, 1
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return x[:n] if have == width else np.minimum(x[:n], x[width - have :][:n])
+
+
 def word_list(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text, in order; null gives none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")

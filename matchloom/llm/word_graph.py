@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import worker_cache
 from .repeats import merged_spans, repeated_spans
-from .suffix_radix import _with_spans
+from .spans import with_spans as _with_spans
 
 #: Words of an edge and of an anchor, and words whose hashes a worker remembers.
 SIZE, ANCHOR, REMEMBERED = 50, 20, 400_000

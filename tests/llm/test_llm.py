@@ -160,26 +160,56 @@ def plain_repeats(texts, size):
     return out
 
 
-@pytest.mark.parametrize("size, together", [(100, 512), (20, 512), (20, 3)])
-def test_repeated_bytes(spark, monkeypatch, size, together):
-    from matchloom.llm import repeats
-
-    monkeypatch.setattr(repeats, "TOGETHER", together)
+@pytest.mark.parametrize("size, together, local, stretch", [(100, 8192, 32, 1 << 21), (20, 512, 32, 1 << 21), (20, 3, 32, 300), (5, 8192, 2, 64), (12, 2, 2, 1 << 21)])
+def test_repeated_bytes(spark, monkeypatch, size, together, local, stretch):
+    # in local mode Python workers are forked with the values set here
+    for name, value in (("TOGETHER", together), ("LOCAL", local), ("STRETCH", stretch)):
+        monkeypatch.setattr(suffix_radix, name, value)
     texts = corpus(4)
     got = by_id(suffix_radix.remove_repeats(docs_of(spark, texts), size))
     assert {i: (r["_n_bytes"], r["_n_removed"], r["_n_spans"], bytes(r["_kept"])) for i, r in got.items()} == plain_repeats(texts, size)
 
 
-def test_long_texts_in_stretches(monkeypatch):
-    from matchloom.llm import repeats
-
-    x = np.random.default_rng(1).integers(0, 3, 3000).astype(np.uint8)
-    whole = repeats.regions(x, 20, 8)
-    monkeypatch.setattr(repeats, "STRETCH", 257)
-    parts = repeats.regions(x, 20, 8)
-    covered = lambda r: [s for a, b in zip(r[2], r[3]) for s in range(a, b + 1)]
-    assert covered(whole) == covered(parts) == list(range(3000 - 19))
-    assert [(int(a), s) for a, lo, hi in zip(whole[0], whole[2], whole[3]) for s in range(lo, hi + 1)] == [(int(a), s) for a, lo, hi in zip(parts[0], parts[2], parts[3]) for s in range(lo, hi + 1)]
+def test_repeated_bytes_beyond_4096_windows(spark):
+    long = "".join(random.Random(5).choices("abcde", k=9000))
+    texts = [(1, "x" * 25_000), (2, long + "1"), (3, "2" + long), (4, long[1:])]
+    got = by_id(suffix_radix.remove_repeats(docs_of(spark, texts), 7000))
+    assert {i: r["_n_removed"] for i, r in got.items()} == {1: 24_999, 2: 0, 3: 9000, 4: 8999}
+    got = by_id(suffix_radix.remove_repeats(docs_of(spark, texts[:1]), 15_000))
+    assert got[1]["_n_removed"] == 24_999 and bytes(got[1]["_kept"]) == b"x"
+
+
+def test_repeated_bytes_keep_clashing_columns(spark):
+    d = docs_of(spark, [(1, "ab" * 80), (2, "ab" * 80)]).withColumns({c: F.lit(c) for c in ("id", "start", "end", "bytes", "spans", "_n_bytes", "_kept", "_spans", "_id")})
+    got = by_id(suffix_radix.remove_repeats(d))
+    assert got[2]["_n_removed"] == 160 and got[2]["id"] == "id" and got[2]["_spans"] == "_spans"
+    assert {r["start"] for r in rows(suffix_radix.removed_documents(d))} == {"start"}
+
+
+def test_radix_passes():
+    rnd = random.Random(3)
+    raw = bytes(rnd.choices(b"ab", k=4000))
+    for size in (3, 8, 11, 16):
+        start = np.arange(len(raw) - size + 1)
+        live, bucket = suffix_radix.radix_repeats(raw, start, np.zeros(len(start), np.int64), size)
+        groups = {}
+        for s in start:
+            groups.setdefault(raw[s : s + size], []).append(s)
+        want = sorted(sorted(g) for g in groups.values() if len(g) > 1)
+        got = {}
+        for s, b in zip(live, bucket):
+            got.setdefault(b, []).append(s)
+        assert sorted(sorted(g) for g in got.values()) == want
+
+
+def test_long_texts_in_stretches():
+    x = bytes(np.random.default_rng(1).integers(0, 3, 3000).astype(np.uint8))
+    seen = []
+    for pieces in ([x], [x[a : a + 257 + 19] for a in range(0, 3000 - 19, 257)]):
+        piece, name, low, more = suffix_radix.regions(pieces, 20, 8)
+        at = 257 * piece if len(pieces) > 1 else 0
+        seen.append([(int(n), s) for n, a, m in zip(name, low + at, more) for s in range(a, a + m + 1)])
+    assert [s for _, s in seen[0]] == list(range(3000 - 19)) and seen[0] == seen[1]
 
 
 def test_cut_texts_stay_texts(spark):
