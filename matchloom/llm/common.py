@@ -6,43 +6,67 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hot groups are split over so many tasks before anything is joined to their rows.
+#: Hot groups are split over so many tasks at least before anything is joined to their rows.
 SALTS = 64
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path under spark.checkpoint.dir. Where that is unset (tests), a temporary folder takes its place."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path under spark.checkpoint.dir, with the scheme of the default file system where the setting has none.
+
+    Where it is unset, a local session (tests) gets a temporary folder; on a cluster that is an error, since executors
+    would not see the folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.matchloom.shared", None)
     if not base:
-        set_before = spark.sparkContext.getCheckpointDir()
-        base = set_before.rsplit("/", 1)[0] if set_before else "file://" + tempfile.mkdtemp(prefix="matchloom-")
-        spark.conf.set("spark.matchloom.shared", base) if not spark.conf.get("spark.matchloom.shared", None) else None
-        base = spark.conf.get("spark.matchloom.shared")
-    if "://" not in base and base.startswith("/"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="matchloom-")
+        spark.conf.set("spark.matchloom.shared", base)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if whole.startswith("file:/") and not whole.startswith("file://"):
+        whole = "file://" + whole.removeprefix("file:")
+    return f"{whole.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows read back from Parquet in the shared folder: lineage ends there, lost executors cost nothing."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing is going to read any more; other tables are left alone."""
+    for df in tables:
+        if at := getattr(df, "_written_at", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def attach_group(df: DataFrame, keys: list[str], spread_by: list[str], salts: int = SALTS, **aggs: tuple) -> DataFrame:
+def salts(spark: SparkSession) -> int:
+    """Over how many tasks a hot group is spread: as many as a shuffle has."""
+    return max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def attach_group(df: DataFrame, keys: list[str], spread_by: list[str], **aggs: tuple) -> DataFrame:
     """Rows of df with aggregates of their group, without ever holding one group in one task.
 
     aggs: name=(partial, final), e.g. first=(F.min("x"), F.min). Groups are pre-aggregated by (keys, salt), then by
-    keys; the result goes back once for each salt that the group has, so a hot group is joined in up to `salts` tasks.
+    keys; the result goes back once for each salt that the group has, so a hot group is joined in as many tasks as a shuffle has.
     Rows with a null key are dropped: callers keep them apart.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts(df.sparkSession))).cast("int"))
     part = salted.groupBy(*keys, "_salt").agg(*[p.alias(n) for n, (p, _) in aggs.items()])
     whole = part.groupBy(*keys).agg(*[f(n).alias(n) for n, (_, f) in aggs.items()], F.collect_list("_salt").alias("_salts"))
     back = whole.select(*keys, *aggs, F.explode("_salts").alias("_salt"))
@@ -64,6 +88,39 @@ def worker_cache(name: str, make=dict):
     return getattr(home, name)
 
 
+def key_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[np.ndarray], bool, int]]:
+    """Sorted batches as (columns, long, given): whole runs of equal values of the first column. A run of more than
+    `limit` rows comes by itself, in pieces (long) of which `given` rows have come before."""
+    held: list[np.ndarray] | None = None
+    long_key, given = None, 0
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(c) for c in zip(held, columns)]
+        held = None
+        if long_key is not None and len(columns[0]):
+            end = int(np.searchsorted(columns[0], long_key, side="right"))
+            if end:
+                yield [c[:end] for c in columns], True, given
+                given += end
+            columns = [c[end:] for c in columns]
+            if len(columns[0]):
+                long_key = None
+        if not len(columns[0]):
+            continue
+        begin = int(np.searchsorted(columns[0], columns[0][-1]))
+        if begin:
+            yield [c[:begin] for c in columns], False, 0
+        columns = [c[begin:] for c in columns]
+        if len(columns[0]) > limit:
+            long_key, given = columns[0][-1], len(columns[0])
+            yield columns, True, 0
+        else:
+            held = columns
+    if held is not None:
+        yield held, False, 0
+
+
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Least value of every `width` neighbours, by doubling."""
     n, have = len(x) - width + 1, 1

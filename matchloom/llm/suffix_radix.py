@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_group, sliding_least, written
+from .common import attach_group, key_runs, sliding_least, written
 from .spans import by_text, keyed, merged_spans, wider, with_spans
 
 U = np.uint64
@@ -153,49 +153,18 @@ def _survivors(digits: DataFrame) -> DataFrame:
     """
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        long_key, given = None, 0
-
-        def settled(key, place, th, i, hot) -> pa.RecordBatch | None:
+        for (key, place, th, i, hot), long, given in key_runs(batches, 4 * TOGETHER):
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (th[1:] != th[:-1])
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            hot = np.logical_or.reduceat(hot, begin)
-            if long_key is not None:
-                hot |= key[begin] == long_key
             n = np.add.reduceat(first, begin, dtype=np.int64)
+            parted = np.logical_or.reduceat(hot, begin) | long
             group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))[first]
             key, place, th, i = key[first], place[first], th[first], i[first]
-            go = (hot | (n > 1))[group]
-            if not go.any():
-                return None
-            rank = np.arange(len(key)) - (np.cumsum(n) - n)[group]
-            if long_key is not None:
-                rank = rank + np.where(key == long_key, given, 0)
-            columns = [key, rank // TOGETHER, ~(hot | (n > TOGETHER))[group], i, th, place]
-            return pa.RecordBatch.from_arrays([pa.array(c[go]) for c in columns], ["key", "part", "whole", "id", "th", "place"])
-
-        held = None
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(columns[0]):
-                continue
-            if held:
-                columns = [np.concatenate(c) for c in zip(held, columns)]
-            key, begin = columns[0], int(np.searchsorted(columns[0], columns[0][-1]))
-            too_long = len(key) - begin > 4 * TOGETHER
-            end = len(key) if too_long else begin
-            if too_long and long_key != key[-1]:
-                if begin and (out := settled(*[c[:begin] for c in columns])):
-                    yield out
-                columns = [c[begin:] for c in columns]
-                end -= begin
-                long_key, given = key[-1], 0
-            if end and (out := settled(*[c[:end] for c in columns])):
-                yield out
-            given += end if too_long else 0
-            held = [c[end:] for c in columns] if end < len(columns[0]) else None
-        if held and (out := settled(*held)):
-            yield out
+            rank = np.arange(len(key)) - (np.cumsum(n) - n)[group] + given
+            go = (parted | (n > 1))[group]
+            columns = [key, rank // TOGETHER, ~(parted | (n > TOGETHER))[group], i, th, place]
+            yield pa.RecordBatch.from_arrays([pa.array(c[go]) for c in columns], ["key", "part", "whole", "id", "th", "place"])
 
     by = digits.select("key", "place", "th", "id", "hot").repartition("key").sortWithinPartitions("key", "place", "th", "id")
     return by.mapInArrow(sift, "key long, part long, whole boolean, id long, th long, place long")

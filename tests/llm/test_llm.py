@@ -7,11 +7,12 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchloom.llm import components, licenses, minhash, mixing, piece_codec, quality, queries, subspace_join, suffix_radix, token_counts, warc, word_graph
+from matchloom.llm import common, components, licenses, minhash, mixing, piece_codec, quality, queries, subspace_join, suffix_radix, token_counts, warc, word_graph
 
 DOC = "doc_id long, text string, source string, kept string, n_words string, th string, spans string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,13 +138,64 @@ def plain_passages(texts, size):
     return out
 
 
-@pytest.mark.parametrize("size", [50, 7])
-def test_passages(spark, size):
+@pytest.mark.parametrize("size, together, local, batch, stretch", [(50, 8192, 32, 100_000, 1 << 19), (7, 512, 32, 200, 1 << 19), (7, 3, 1, 100, 40), (2, 8192, 4, 500, 64)])
+def test_passages(spark, monkeypatch, size, together, local, batch, stretch):
+    for name, value in (("TOGETHER", together), ("LOCAL", local), ("BATCH_ROWS", batch), ("STRETCH", stretch)):
+        monkeypatch.setattr(word_graph, name, value)
     texts = corpus(3)
-    got = by_id(word_graph.remove_passages(docs_of(spark, texts), size))
+    got = by_id(word_graph.remove_passages(docs_of(spark, texts).repartition(3), size))
     assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == plain_passages(texts, size)
 
 
+def test_passages_of_long_texts(spark):
+    rnd = random.Random(8)
+    long = [f"w{rnd.randrange(5000)}" for _ in range(60_000)]
+    texts = [(1, " ".join(long)), (2, "x " + " ".join(long[100:]) + " y"), (3, "same " * 30_000), (4, "same " * 30_000), (5, " ".join(long[:30_000] + ["other"] + long[30_001:]))]
+    got = by_id(word_graph.remove_passages(docs_of(spark, texts).repartition(5)))
+    assert {i: r["n_removed"] for i, r in got.items()} == {1: 0, 2: 59_900, 3: 0, 4: 30_000, 5: 59_999}
+    assert got[5]["kept"] == "other" and got[2]["kept"] == "x y"
+
+
+def test_paths_between_branches(spark):
+    chain = [(k, k + 1, 2) for k in range(70)]  # begin, end, more: one path of 70 edges
+    edges = [*chain, (100, 101, 0), (101, 102, 1), (101, 103, 1), (200, 201, 0), (201, 202, 3), (202, 200, 0), (300, 300, 0)]
+    df = spark.createDataFrame([(1000 + i, *e) for i, e in enumerate(edges)] * 2, "edge long, begin long, end long, more long")
+    got = {r["edge"]: (r["path"], r["hops"], r["offset"]) for r in word_graph.paths(df).collect()}
+    assert got == {1000 + i: (1000, i, 3 * i) for i in range(70)} | {k: (k, 0, 0) for k in range(1070, 1077)}
+    assert word_graph.paths(df.limit(0)).count() == 0
+
+
+def test_runs_of_keys():
+    rnd = random.Random(4)
+    keys = sorted(rnd.choices(range(40), k=500) + [7] * 300 + [20] * 200)
+    cut = sorted(rnd.sample(range(1000), 30))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(range(a, b), pa.int64())], ["k", "i"]) for a, b in zip([0, *cut], [*cut, 1000])]
+    seen, done = [], set()
+    for (k, i), long, given in common.key_runs(iter(batches), 100):
+        assert long or not (set(k) & done)
+        assert not long or len(set(k)) == 1 and given == sum(x == k[0] for x in keys[: i[0]])
+        done |= set(k)
+        seen += i.tolist()
+    assert seen == list(range(1000))
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    before = spark.conf.get("spark.matchloom.shared", None)
+    spark.conf.set("spark.matchloom.shared", str(tmp_path))
+    try:
+        df = common.written(spark.range(5), "x")
+        assert df.count() == 5 and df._written_at.startswith(f"file://{tmp_path}/x-")
+        common.forget(df)
+        assert not list(tmp_path.iterdir())
+    finally:
+        spark.conf.unset("spark.matchloom.shared")
+    with monkeypatch.context() as m, pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        m.setattr(spark.sparkContext, "master", "yarn")
+        common.shared_dir(spark, "x")
+    if before:
+        spark.conf.set("spark.matchloom.shared", before)
+
+
 def plain_repeats(texts, size):
     raw = {i: (t or "").encode() for i, t in texts}
     seen, out = set(), {}
