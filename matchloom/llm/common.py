@@ -17,23 +17,26 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the default file system where it has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path under spark.checkpoint.dir, with the scheme of the default file system where the setting has none.
+    """A new path under spark.checkpoint.dir.
 
-    Where it is unset, a local session (tests) gets a temporary folder; on a cluster that is an error, since executors
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster that is an error, since executors
     would not see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.matchloom.shared", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="matchloom-")
+        base = tempfile.mkdtemp(prefix="matchloom-")
         spark.conf.set("spark.matchloom.shared", base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    if whole.startswith("file:/") and not whole.startswith("file://"):
-        whole = "file://" + whole.removeprefix("file:")
-    return f"{whole.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, base).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -54,9 +57,14 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """Tasks of a shuffle whose rows are small but much work: a number that is given is not lowered for their size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def salts(spark: SparkSession) -> int:
     """Over how many tasks a hot group is spread: as many as a shuffle has."""
-    return max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(SALTS, shuffle_tasks(spark))
 
 
 def attach_group(df: DataFrame, keys: list[str], spread_by: list[str], **aggs: tuple) -> DataFrame:

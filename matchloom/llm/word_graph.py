@@ -219,52 +219,74 @@ def _under_anchors(edges: DataFrame) -> DataFrame:
     return by.mapInArrow(sift, ", ".join(f"{c} {'boolean' if c == 'whole' else 'long'}" for c in columns))
 
 
-def paths(edges: DataFrame) -> DataFrame:
-    """edge, path, hops and offset of every distinct edge (edge, begin, end, more).
+def paths(edges: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
+    """edge, path, hops and offset of every distinct edge of a table (edge, begin, end, more, sid, sth, at).
 
     Edges that follow one another through nodes with one edge in and one out are a path, named by its first edge; hops
-    and offset are an edge's distance from that, in edges and in words. Each round of joins doubles how far an edge
-    sees; only edges that do not yet see their path's begin take part. An edge of a ring is a path of its own.
+    and offset are an edge's distance from that, in edges and in words. What also follows one another in one source
+    (sid, sth, at) is one stretch at once. Stretches are joined by rounds that double how far each sees; only those that
+    do not yet see their path's begin take part. A stretch of a ring is a path of its own. made takes the tables
+    written on the way, which may be forgotten once the result has been read.
     """
-    edges = written(edges.select("edge", "begin", "end", "more").distinct(), "edges")
-    out = edges.groupBy(F.col("begin").alias("node")).agg(F.count("*").alias("outs"), F.min("edge").alias("edge"))
-    in_ = edges.groupBy(F.col("end").alias("node")).agg(F.count("*").alias("ins"), F.min("edge").alias("path"), F.min("more").alias("more"))
-    plain = out.where("outs = 1").join(in_.where("ins = 1"), "node").where("edge <> path")
-    one = F.lit(1).cast("long")
-    waiting = written(plain.select("edge", "path", one.alias("hops"), (F.col("more") + 1).alias("offset")), "steps")
+    made = made if made is not None else []
+
+    def kept(df: DataFrame, purpose: str) -> DataFrame:
+        made.append(written(df, purpose))
+        return made[-1]
+
+    single = edges.groupBy("edge").agg(F.min(F.struct("sid", "sth", "at", "begin", "end", "more")).alias("e")).select("edge", "e.*")
+    single = kept(single, "edges")
+    out = single.groupBy(F.col("begin").alias("node")).agg(F.count("*").alias("outs"), F.min("edge").alias("edge"))
+    in_ = single.groupBy(F.col("end").alias("node")).agg(F.count("*").alias("ins"), F.min("edge").alias("before"), F.min("more").alias("more_before"))
+    plain = out.where("outs = 1").join(in_.where("ins = 1"), "node").where("edge <> before").select("edge", "before", "more_before")
+    along = W.partitionBy("sid", "sth").orderBy("at", "edge")
+    last = lambda c: F.lag(c).over(along)
+    follows = (last("edge") == F.col("before")) & (F.col("at") == last("at") + last("more") + 1)
+    placed = single.join(plain, "edge", "left").withColumn("n", F.row_number().over(along)).withColumn("first", ~F.coalesce(follows, F.lit(False)))
+    head = F.last(F.when(F.col("first"), F.struct("edge", "at", "n")), ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0))
+    placed = placed.withColumn("head", head).select(
+        "edge", F.col("head.edge").alias("stretch"), (F.col("n") - F.col("head.n")).cast("long").alias("hops"), (F.col("at") - F.col("head.at")).alias("offset"),
+        F.when(F.col("first"), F.col("before")).alias("before"), "more_before",
+    )
+    placed = kept(placed, "stretches")
+    joint = placed.where("before IS NOT NULL").select("stretch", F.col("before").alias("edge"), "more_before")
+    joint = joint.join(placed.select("edge", F.col("stretch").alias("path"), "hops", "offset"), "edge").where("stretch <> path")
+    columns = ["stretch", "path", "hops", "offset"]
+    waiting = kept(joint.select("stretch", "path", (F.col("hops") + 1).alias("hops"), (F.col("offset") + F.col("more_before") + 1).alias("offset")), "steps")
+    # Stretches that nothing follows are looked up by none: only the others are kept at hand.
     zero = F.lit(0).cast("long")
-    done = [written(edges.select("edge").join(waiting, "edge", "left_anti").select("edge", F.col("edge").alias("path"), zero.alias("hops"), zero.alias("offset")), "steps")]
+    begins = waiting.select(F.col("path").alias("stretch")).distinct().join(waiting.select("stretch"), "stretch", "left_anti")
+    done = [kept(begins.select("stretch", F.col("stretch").alias("path"), zero.alias("hops"), zero.alias("offset")), "steps")]
     left, seen = waiting.count(), 1
     most = left + 1
     while left and seen <= most:
-        known = done[0].withColumn("done", F.lit(True))
-        for d in done[1:]:
+        known = waiting.withColumn("done", F.lit(False))
+        for d in done:
             known = known.union(d.withColumn("done", F.lit(True)))
-        known = known.union(waiting.withColumn("done", F.lit(False)))
-        ahead = known.select(F.col("edge").alias("path"), F.col("path").alias("to"), F.col("hops").alias("h"), F.col("offset").alias("o"), "done")
-        step = waiting.join(ahead, "path").select("edge", F.col("to").alias("path"), (F.col("hops") + F.col("h")).alias("hops"), (F.col("offset") + F.col("o")).alias("offset"), "done")
-        step = written(step, "steps")
-        forget(waiting)
-        columns = ["edge", "path", "hops", "offset"]
+        ahead = known.select(F.col("stretch").alias("path"), F.col("path").alias("to"), F.col("hops").alias("h"), F.col("offset").alias("o"), "done")
+        step = waiting.join(ahead, "path").select("stretch", F.col("to").alias("path"), (F.col("hops") + F.col("h")).alias("hops"), (F.col("offset") + F.col("o")).alias("offset"), "done")
+        step = kept(step, "steps")
         done.append(step.where("done").select(columns))
         waiting = step.where("NOT done").select(columns)
         left, seen = waiting.count(), 2 * seen
-    rings = waiting.select("edge", F.col("edge").alias("path"), zero.alias("hops"), zero.alias("offset"))
-    for d in done:
-        rings = rings.union(d)
-    return rings
+    found = done[0]
+    for d in done[1:]:
+        found = found.union(d)
+    found = found.select("stretch", "path", F.col("hops").alias("h"), F.col("offset").alias("o"))
+    whole = placed.select("edge", "stretch", "hops", "offset").join(found, "stretch", "left")
+    return whole.select("edge", F.coalesce("path", "stretch").alias("path"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"), (F.col("offset") + F.coalesce("o", F.lit(0))).alias("offset"))
 
 
-def path_spans(edges: DataFrame, size: int) -> DataFrame:
+def path_spans(edges: DataFrame, size: int, made: list[DataFrame]) -> DataFrame:
     """id, th, start, end, sid, sth, at: the documents' stretches of paths that an earlier document has."""
     named = edges.withColumn("edge", F.xxhash64("begin", "end", "more"))
-    placed = named.join(paths(named), "edge")
-    # In one document and its source, what is as far apart as on the path, without a gap, is one stretch.
+    placed = named.join(paths(named, made), "edge")
+    # In one document and its source, what is as far apart as on the path, without a gap, is one span.
     placed = placed.withColumn("here", F.col("low") - F.col("offset")).withColumn("there", F.col("at") - F.col("offset"))
-    stretch = ["id", "th", "path", "sid", "sth", "here", "there"]
-    gapless = placed.withColumn("island", F.col("hops") - F.dense_rank().over(W.partitionBy(*stretch).orderBy("hops")))
+    alike = ["id", "th", "path", "sid", "sth", "here", "there"]
+    gapless = placed.withColumn("island", F.col("hops") - F.dense_rank().over(W.partitionBy(*alike).orderBy("hops")))
     ends = F.max(F.col("low") + F.col("more") + F.lit(size))
-    found = gapless.groupBy(*stretch, "island").agg(F.min("low").alias("start"), ends.alias("end"), F.min("at").alias("at"))
+    found = gapless.groupBy(*alike, "island").agg(F.min("low").alias("start"), ends.alias("end"), F.min("at").alias("at"))
     return found.select("id", "th", "start", "end", "sid", "sth", "at")
 
 
@@ -367,8 +389,11 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, text: str = "text") ->
     known = keyed(docs, text)
     met = written(_under_anchors(_edges(known, size, min(ANCHOR, size))), "anchors")
     copied = met.where(F.col("kind") == COPY).select("id", "th", F.col("low").alias("start"), (F.col("low") + F.col("more") + F.lit(size)).alias("end"), "sid", "sth", "at")
-    spans = written(copied.union(path_spans(met.where(F.col("kind") == EDGE), size)).distinct(), "spans")
+    made: list[DataFrame] = []
+    spans = written(copied.union(path_spans(met.where(F.col("kind") == EDGE), size, made)).distinct(), "spans")
+    forget(*made)
     found = written(_verify(_cut(spans, met.where(F.col("kind") == HOT), known, size), size), "passages")
+    forget(met, spans)
     rest = attach_group(found.where("words IS NOT NULL"), ["words"], ["id", "start"], first=(F.min("id"), F.min)).where("id > first")
     columns = ["id", "th", "start", "end"]
     return by_text(found.where("words IS NULL").select(columns).union(rest.select(columns)))
