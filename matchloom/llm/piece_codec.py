@@ -9,6 +9,7 @@ from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,22 +17,18 @@ from pyspark.sql import functions as F
 from .common import worker_cache
 
 SPACE = "▁"
-#: Chunks and pairs remembered by a worker; beyond this many a table starts anew.
-REMEMBERED = 350_000
+#: Chunks and pairs remembered by a worker; beyond this many a table starts anew. Bytes that are given out at once.
+REMEMBERED, GIVEN_BYTES = 350_000, 16 << 20
 
 
 class ChunkIds(dict):
-    """Ids of chunks, in little-endian 32 bits, worked out once each. odd: chunks that do not decode to themselves."""
+    """Ids of chunks, in little-endian 32 bits, worked out once each."""
 
     def __init__(self, codec: PieceCodec):
-        self.codec, self.odd = codec, {}
+        self.codec = codec
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.codec.chunk_ids(chunk)
-        raw = self.codec.decode_bytes(ids)
-        if raw != chunk.replace(SPACE, " ").encode():
-            self.odd[chunk] = raw
-        packed = array("I", ids).tobytes()
+        packed = array("I", self.codec.chunk_ids(chunk)).tobytes()
         if len(chunk) < 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -120,11 +117,11 @@ class PieceCodec:
         lengths: list[list[int]] = [[] for _ in range(n)]
         for end, size in self.finder.iter(text):
             lengths[end + 1 - size].append(size)  # shorter ones end first: each list is in ascending order
-        failed, taken, at, choice = 0, [], 0, len(lengths[0]) - 1
+        failed, taken, at, choice = bytearray(n // 8 + 1), [], 0, len(lengths[0]) - 1
         while True:
             while choice >= 0:
                 end = at + lengths[at][choice]
-                if not failed >> end & 1 and (not taken or self.may_follow(text[taken[-1][0] : at], text[at:end])):
+                if not failed[end >> 3] >> (end & 7) & 1 and (not taken or self.may_follow(text[taken[-1][0] : at], text[at:end])):
                     break
                 choice -= 1
             if choice >= 0:
@@ -134,7 +131,7 @@ class PieceCodec:
                     return [text[i : i + lengths[i][c]] for i, c in taken]
                 choice = len(lengths[at]) - 1
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 at, choice = taken.pop()
                 choice -= 1
 
@@ -158,57 +155,64 @@ class PieceCodec:
         return ids
 
     def decode_bytes(self, ids) -> bytes:
+        """What ids stand for, one after another; begin and end stand for nothing."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def both(self, text: str) -> tuple[bytes, bytes]:
-        """A text's ids, without begin and end, and the bytes that they decode to: chunk by chunk, each chunk's ids
-        having been decoded when they were worked out."""
-        chunks = self.split(text)
-        ids = b"".join(map(self.known.__getitem__, chunks))
-        odd = self.known.odd
-        if odd and not odd.keys().isdisjoint(chunks):
-            return ids, b"".join(odd[c] if c in odd else c.replace(SPACE, " ").encode() for c in chunks)
-        return ids, "".join(chunks).replace(SPACE, " ").encode()
+    def packed(self, text: str) -> bytes:
+        """A text's ids in little-endian 32 bits, without begin and end."""
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def split(self, text: str) -> list[str]:
         return self.chunks(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [self.bos, *array("I", self.both(text)[0]), self.eos]
+        return [self.bos, *array("I", self.packed(text)), self.eos]
 
-    def decode(self, ids: list[int]) -> str:
-        """Begin and end say nothing; the space put before the text goes."""
+    def decode(self, ids) -> bytes:
+        """The decoded text in UTF-8; the space put before the text goes."""
         raw = self.decode_bytes(ids)
-        return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
+        return raw[1:] if raw[:1] == b" " else raw
 
 
-def code(docs: DataFrame, model: str, text: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs; with keep, also ids and decoded.
+def code(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs; keep adds ids, decoded or both.
 
     model: path of the model file, read by the driver and sent to the executors (its size is the vocabulary's). A
-    null text counts as empty: begin and end only. Repeated rows and null ids stay; an empty table gives no rows.
+    null text counts as empty: begin and end only. Texts are coded whole, whatever their length, from ids to text as
+    from text to ids. Repeated rows and null ids stay; an empty table gives no rows.
     """
     with open(model, "rb") as file:
         source = docs.sparkSession.sparkContext.broadcast(file.read())
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
+    kinds = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | {k: {"ids": "array<int>", "decoded": "string"}[k] for k in keep}
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = worker_cache("piece_codecs")
         key = hash(source.value)
         codec = made.get(key) or made.setdefault(key, PieceCodec(source.value))
         begin, end = array("I", [codec.bos]).tobytes(), array("I", [codec.eos]).tobytes()
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(5 if keep else 3)]
-            for t in batch.column(1).to_pylist():
-                ids, raw = codec.both(t or "")
-                ids = b"".join((begin, ids, end))
-                raw = raw[1:] if raw[:1] == b" " else raw
-                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()]
-                if keep:
-                    row += [list(array("i", ids)), raw.decode(errors="replace")]
-                for c, v in zip(columns, row):
-                    c.append(v)
-            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], [x.split()[0] for x in schema.split(", ")])
 
+        def rows(doc_ids: pa.Array, ids: list[bytes], raw: list[bytes]) -> pa.RecordBatch:
+            n = np.array([len(x) // 4 for x in ids])
+            digest = lambda blobs: pa.array([hashlib.sha256(x).hexdigest() for x in blobs], pa.string())
+            columns = {"doc_id": doc_ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": digest(ids), "decoded_sha256": digest(raw)}
+            if "ids" in keep:
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            if "decoded" in keep:
+                columns["decoded"] = pa.array([x.decode(errors="replace") for x in raw], pa.string())
+            return pa.RecordBatch.from_arrays([columns[k] for k in kinds], list(kinds))
+
+        for batch in batches:
+            ids, raw, first, weight = [], [], 0, 0
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                ids.append(b"".join((begin, codec.packed(t or ""), end)))
+                raw.append(codec.decode(array("I", ids[-1])))
+                weight += len(ids[-1]) + len(raw[-1])
+                if weight > GIVEN_BYTES:
+                    yield rows(batch.column(0).slice(first, i + 1 - first), ids, raw)
+                    ids, raw, first, weight = [], [], i + 1, 0
+            if ids:
+                yield rows(batch.column(0).slice(first), ids, raw)
+
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(coded, schema)
