@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 
 from .common import word_list, written
 
-#: Words of a block; slots of an output shard at least; the most output shards; sources that may be broadcast.
-BLOCK_WORDS, SHARD_SLOTS, MOST_SHARDS, MOST_SOURCES = 64, 1024, 1024, 100_000
+#: Words of a block; slots of an output shard on average at least; the most output shards, a parameter of the mix;
+#: sources that may be broadcast; slots that are filled at once.
+BLOCK_WORDS, SHARD_SLOTS, MOST_SHARDS, MOST_SOURCES, CHUNK = 64, 1024, 1024, 100_000, 250_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -40,25 +41,13 @@ def targets(sizes: list[int], weights: list[int], share: Fraction = Fraction(3,
             left -= out[i]
 
 
-def shard_counts(quotas: list[int], seed: int) -> np.ndarray:
-    """Slots of each source (row) in each output shard (column), multinomial draws that add up to the quotas."""
-    q = np.array(quotas, dtype=np.int64)
-    total = int(q.sum())
-    n = max(1, min(MOST_SHARDS, -(-total // SHARD_SLOTS)))
-    rng = np.random.default_rng(seed)
-    sizes = np.full(n, total // n) + (np.arange(n) < total % n)
-    drawn = np.stack([rng.multinomial(k, q / max(total, 1)) for k in sizes], axis=1) if total else np.zeros((len(q), n), np.int64)
-    for row, gap in zip(drawn, q - drawn.sum(axis=1)):
-        if gap > 0:
-            row += gap // n
-            row[rng.permutation(n)[: gap % n]] += 1
-        elif gap < 0:  # taken off one by one among those drawn
-            off = -int(gap)
-            while off:
-                some = rng.permutation(np.flatnonzero(row))[:off]
-                row[some] -= 1
-                off -= len(some)
-    return drawn
+def shard_counts(quota: int, shards: int, seed: int, src: int) -> np.ndarray:
+    """How many of a source's slots stand in each output shard: multinomial counts that add up to the quota.
+
+    Shards thus hold multinomial counts of the sources, in proportion to the quotas, and each source is drawn by
+    itself, wherever it is needed.
+    """
+    return np.random.default_rng([seed, src]).multinomial(quota, np.full(shards, 1 / shards))
 
 
 def permuted(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -84,16 +73,19 @@ class Mix:
 
     Rows count one by one, repeated ids and null ids too. A null text has no words; a null source comes last in
     order. Equal runs give equal mixes: order in a source follows a hash of the id, then the id, the size and the
-    text's hash. Source totals, one row for each source, come to the driver; nothing else does.
+    text's hash. Source totals, one row for each source, come to the driver; nothing else does. most_shards bounds the
+    number of output shards, and with it what a task draws for a source; beyond SHARD_SLOTS * most_shards slots
+    shards grow instead.
     """
 
-    def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 0):
+    def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 0, most_shards: int = MOST_SHARDS):
         self.docs, self.block = docs, block_words
         t = F.coalesce("text", F.lit(""))
         sized = docs.select("doc_id", "source", F.size(word_list(t)).cast("long").alias("size"), F.xxhash64("text").alias("th"))
-        # Rows that agree in all are told apart by a count, so that joins stay one to one.
+        # Rows that agree in all are told apart by a count, so that joins stay one to one; those without words need none.
         one = W.partitionBy("id0", "th", "source").orderBy("size")
-        sized = sized.withColumn("id0", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("k", F.row_number().over(one))
+        sized = sized.withColumn("id0", F.coalesce("doc_id", F.lit(-(2**63))))
+        sized = sized.where("size > 0").withColumn("k", F.row_number().over(one)).union(sized.where("size = 0").withColumn("k", F.lit(0)))
         self.sized = sized = written(sized, "sizes")
         rows = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
         rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -101,7 +93,8 @@ class Mix:
         self.targets = targets(self.sizes, [weights[i % len(weights)] for i in range(len(rows))], share, most)
         self.blocks = [-(-s // block_words) for s in self.sizes]
         quotas = [min(most * b, round(t * b / s)) if s else 0 for t, b, s in zip(self.targets, self.blocks, self.sizes)]
-        self.counts, self.seed = shard_counts(quotas, seed), seed
+        self.quotas, self.seed = quotas, seed
+        self.shards = max(1, min(most_shards, -(-sum(quotas) // SHARD_SLOTS)))
         spark = docs.sparkSession
         table = [(i, n, s, float(t)) for i, (n, s, t) in enumerate(zip(self.names, self.sizes, self.targets))]
         table = spark.createDataFrame(table, "src int, source string, source_size long, target double")
@@ -116,27 +109,26 @@ class Mix:
         self.placed = known.withColumn("start", F.coalesce(within, F.lit(0))).join(totals, ["src", "bucket"]).withColumn("start", F.col("start") + F.col("base"))
 
     def slots(self) -> DataFrame:
-        """src, shard, slot, block: what stands in each slot of the mix."""
-        counts = self.counts
-        per_source, ends = counts.sum(axis=1), np.cumsum(counts.sum(axis=1))
-        bounds, sizes, seed = np.cumsum(counts, axis=1), np.array(self.blocks, dtype=np.int64), np.uint64(self.seed)
+        """src, shard, slot (number in its source) and block: what stands in each slot of the mix."""
+        shards, seed = self.shards, self.seed
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            drawn: tuple[int, np.ndarray] | None = None
             for batch in batches:
-                slot = batch.column(0).to_numpy()
-                src = np.searchsorted(ends, slot, side="right")
-                i = slot - (ends[src] - per_source[src])
-                shard = np.empty(len(i), np.int64)
-                for s in np.unique(src):
-                    at = src == s
-                    shard[at] = np.searchsorted(bounds[s], i[at], side="right")
-                n = sizes[src]
-                key = (src.astype(np.uint64) << np.uint64(32)) + (i // n).astype(np.uint64) + seed * np.uint64(0xD6E8FEB86659FD93)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (src.astype(np.int32), shard, slot, permuted(i % n, n, key))], ["src", "shard", "slot", "block"])
-
-        spark = self.docs.sparkSession
-        total = int(ends[-1]) if len(ends) else 0
-        return spark.range(0, total, 1, max(1, min(100_000, total // 250_000))).mapInArrow(fill, "src int, shard long, slot long, block long")
+                for src, quota, blocks, low in zip(*[c.to_pylist() for c in batch.columns]):
+                    if drawn is None or drawn[0] != src:
+                        drawn = src, np.cumsum(shard_counts(quota, shards, seed, src))
+                    slot = np.arange(low, min(low + CHUNK, quota))
+                    n = np.full(len(slot), blocks)
+                    key = np.uint64(src << 32) + (slot // blocks).astype(np.uint64) + np.uint64(seed * 0xD6E8FEB86659FD93 % 2**64)
+                    columns = np.full(len(slot), src, np.int32), np.searchsorted(drawn[1], slot, side="right"), slot, permuted(slot % blocks, n, key)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["src", "shard", "slot", "block"])
+
+        rows = [(i, q, b) for i, (q, b) in enumerate(zip(self.quotas, self.blocks)) if q]
+        chunks = self.docs.sparkSession.createDataFrame(rows, "src int, quota long, blocks long")
+        chunks = chunks.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(CHUNK).cast("long"))))
+        tasks = max(1, min(100_000, sum(-(-q // CHUNK) for q in self.quotas)))
+        return chunks.repartition(tasks, "src", "low").sortWithinPartitions("src", "low").mapInArrow(fill, "src int, shard long, slot long, block long")
 
     def pieces(self) -> DataFrame:
         """The rows' parts by block: src, block, id0, th, k, from_word, n_words."""
@@ -170,7 +162,7 @@ class Mix:
         # The rows travel as one column, so that no name of theirs meets one of ours.
         row, c = F.struct("*").alias("row"), F.col
         keyed = docs.select(row, F.coalesce(c("doc_id").cast("long"), F.lit(-(2**63))).alias("id0"), F.xxhash64("text").alias("th"), F.coalesce("source", F.lit("")).alias("s"), F.isnull("source").alias("n"))
-        keyed = keyed.withColumn("k", F.row_number().over(W.partitionBy("id0", "th", "s", "n").orderBy("row.text")))
+        keyed = keyed.where(F.col("row.text").rlike(r"[^\x20\x09-\x0d]")).withColumn("k", F.row_number().over(W.partitionBy("id0", "th", "s", "n").orderBy("row.text")))
         schema = docs.schema
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
