@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,15 +31,26 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string against the longer's stretches of its length, cut at the ends too."""
+    """The best ratio of the shorter string against the longer's stretches of its length, cut at the ends too.
+
+    The letters that a stretch shares with the shorter string, counted as the stretch moves, bound its ratio: only
+    stretches that could be better than the best so far are compared.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
-    m, best, letters = len(a), 0.0, set(a)
+    m, best, spare = len(a), 0.0, Counter(a)  # spare: letters of a that the stretch does not have
+    letters, common = set(a), 0
     for end in range(1, len(b) + m):
         low, high = max(0, end - m), min(end, len(b))
-        if b[high - 1] in letters or b[low] in letters:
+        if end <= len(b) and b[end - 1] in letters:
+            spare[b[end - 1]] -= 1
+            common += spare[b[end - 1]] >= 0
+        if end > m and b[low - 1] in letters:
+            common -= spare[b[low - 1]] >= 0
+            spare[b[low - 1]] += 1
+        if (b[high - 1] in letters or b[low] in letters) and 2 * common / (m + high - low) > best:
             best = max(best, ratio(a, b[low:high]))
             if best == 1.0:
                 break
@@ -86,6 +100,15 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
 SCORERS = {"ratio": ratio, "partial": partial_ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "jaro_winkler": jaro_winkler}
 
 
+#: Scores of one kind that a worker remembers.
+REMEMBERED = 100_000
+
+
+@lru_cache(None)
+def remembered(name: str):
+    return lru_cache(REMEMBERED)(SCORERS[name])
+
+
 def scorer(name: str):
     """The scorer as a function of two string columns; nulls count as empty."""
     score = SCORERS[name]
@@ -98,11 +121,15 @@ def scorer(name: str):
 
 
 def scores(pairs: list[tuple[Column, Column, str]]) -> Column:
-    """Many scores of a row in one pass over Arrow batches: an array of doubles in the order given."""
-    functions = [SCORERS[s] for _, _, s in pairs]
+    """Many scores of a row in one pass over Arrow batches: an array of doubles in the order given.
+
+    Records meet many others, and names recur: a worker remembers the scores of strings that it has compared.
+    """
+    names = [s for _, _, s in pairs]
 
     @F.udf("array<double>", useArrow=True)
     def of(texts: list[str]) -> list[float]:
+        functions = [remembered(n) for n in names]
         return [f(texts[2 * i] or "", texts[2 * i + 1] or "") for i, f in enumerate(functions)]
 
     return of(F.array(*[c for a, b, _ in pairs for c in (a, b)]))

@@ -8,35 +8,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import written
+
 #: Rank of a pair that a pass has not found.
 ABSENT = 999
+#: The block of queries whose own block no pool record has: the whole pool.
+WHOLE_POOL = "\x00whole pool"
+#: Queries of one token that meet its pool records in one task.
+TOKEN_QUERIES = 200_000
+#: Rows of a tile on each side, and of the parts of it that are multiplied at once.
+TILE, QUERIES_AT_ONCE, POOL_AT_ONCE = 65_536, 1024, 8192
 
 
-def blocks_or_all(queries: DataFrame, pool: DataFrame, block: str) -> DataFrame:
-    """Pool rows for every block the queries name: its own rows, or the whole pool where it has none."""
-    unseen = queries.select(block).distinct().join(pool.select(block).distinct(), block, "left_anti")
-    # A block name for each unseen label, of which there are few; the pool is repeated for those alone.
-    everywhere = pool.drop(block).crossJoin(unseen)
-    return pool.unionByName(everywhere)
+def blocks_or_all(queries: DataFrame, pool: DataFrame, block: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with blocks as strings. Queries of a block that the pool lacks share one block, which holds the whole
+    pool once; it is empty where there are none."""
+    queries, pool = (df.withColumn(block, F.col(block).cast("string")) for df in (queries, pool))
+    known = pool.select(block, F.lit(True).alias("_known")).distinct()
+    queries = queries.join(known, block, "left").withColumn(block, F.when(F.col("_known"), F.col(block)).otherwise(F.lit(WHOLE_POOL))).drop("_known")
+    unseen = queries.where(F.col(block) == WHOLE_POOL).select(block).distinct()
+    everywhere = pool.withColumn(block, F.lit(WHOLE_POOL)).join(unseen, block, "left_semi")
+    return queries, pool.unionByName(everywhere)
 
 
 def token_pass(queries: DataFrame, pool: DataFrame, k: int = 12, max_df: int = 3000, block: str = "country") -> DataFrame:
     """s1_id, pool_id, tok_score, tok_rank: the k pool records of the block with the highest cosine of idf weights.
 
     queries: s1_id, block, tokens; pool: pool_id, block, tokens (arrays). The vocabulary is the pool's, without tokens
-    of more than max_df records: that also bounds the rows that any one token joins. A query's norm counts kept
-    tokens only.
+    of more than max_df records: that bounds the pool's side of any one token. Its queries, if there are more than
+    TOKEN_QUERIES, meet it in several tasks. A query's norm counts kept tokens only. Weighted tokens of both sides are
+    written once, for the join and for the norms.
     """
-    pool = blocks_or_all(queries, pool, block)
+    queries, pool = blocks_or_all(queries, pool, block)
     q = queries.select("s1_id", block, F.explode(F.array_distinct("tokens")).alias("token"))
     p = pool.select("pool_id", block, F.explode(F.array_distinct("tokens")).alias("token"))
     size = pool.groupBy(block).agg(F.count("*").alias("n"))
     kept = p.groupBy(block, "token").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
-    weight = kept.join(size, block).select(block, "token", F.log1p(F.col("n") / F.col("df")).alias("w"))
-    p, q = p.join(weight, [block, "token"]), q.join(weight, [block, "token"])
+    asked = q.groupBy(block, "token").agg(F.ceil(F.count("*") / TOKEN_QUERIES).cast("int").alias("parts"))
+    weight = kept.join(size, block).join(asked, [block, "token"], "left").select(block, "token", F.log1p(F.col("n") / F.col("df")).alias("w"), F.coalesce("parts", F.lit(1)).alias("parts"))
+    weight = written(weight, "weights")
+    p, q = written(p.join(weight, [block, "token"]), "pool-tokens"), written(q.join(weight, [block, "token"]), "query-tokens")
     norm = lambda df, i: df.groupBy(block, i).agg((F.sqrt(F.sum(F.col("w") * F.col("w"))) + 1e-6).alias(f"norm_{i}"))
-    met = q.select("s1_id", block, "token", "w").join(p.select("pool_id", block, "token"), [block, "token"])
-    met = met.groupBy(block, "s1_id", "pool_id").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+    mine = q.select("s1_id", block, "token", "w", F.pmod(F.xxhash64("s1_id"), F.col("parts")).cast("int").alias("part"))
+    theirs = p.select("pool_id", block, "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = mine.join(theirs, [block, "token", "part"]).groupBy(block, "s1_id", "pool_id").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
     scored = met.join(norm(q, "s1_id"), [block, "s1_id"]).join(norm(p, "pool_id"), [block, "pool_id"])
     scored = scored.select("s1_id", "pool_id", (F.col("dot") / (F.col("norm_s1_id") * F.col("norm_pool_id"))).alias("tok_score"))
     # Scores are compared to nine digits, so that sums in another order rank alike.
@@ -44,32 +59,51 @@ def token_pass(queries: DataFrame, pool: DataFrame, k: int = 12, max_df: int = 3
     return scored.withColumn("tok_rank", F.row_number().over(order)).where(F.col("tok_rank") <= k)
 
 
-def vector_pass(queries: DataFrame, pool: DataFrame, k: int = 20, block: str = "country", side: int = 4096) -> DataFrame:
+def best_products(queries: np.ndarray, pool: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the pool and scores of the k largest inner products of each query, best first, of equals (to nine
+    digits) the first in the pool. The pool is read part by part; k scores of a query are kept."""
+    at, score = np.empty((len(queries), 0), np.int64), np.empty((len(queries), 0))
+    for low in range(0, len(pool), POOL_AT_ONCE):
+        new = queries.astype(np.float64) @ pool[low : low + POOL_AT_ONCE].astype(np.float64).T
+        score = np.concatenate([score, new], axis=1)
+        at = np.concatenate([at, np.broadcast_to(np.arange(low, low + new.shape[1]), new.shape)], axis=1)
+        rounded = -np.round(score, 9)
+        if rounded.shape[1] > k:  # what cannot be among the k best goes first; ties with the last of them stay
+            limit = np.partition(rounded, k - 1, axis=1)[:, k - 1 : k]
+            rounded = np.where(rounded <= limit, rounded, np.inf)
+        best = np.argsort(rounded, axis=1, kind="stable")[:, :k]
+        at, score = np.take_along_axis(at, best, axis=1), np.take_along_axis(score, best, axis=1)
+    return at, score
+
+
+def vector_pass(queries: DataFrame, pool: DataFrame, k: int = 20, block: str = "country", side: int = TILE) -> DataFrame:
     """s1_id, pool_id, emb_score, emb_rank: the k pool records of the block with the largest inner product, exactly.
 
-    Queries and pool are dealt in tiles of about `side` rows each; a tile gives its k best for each query, and those of
-    all tiles are ranked. queries: s1_id, block, embedding; pool: pool_id, block, embedding.
+    Queries and pool are dealt in tiles of about `side` rows each, so that a row is copied once for each tile of the
+    other side; a tile gives its k best for each query, and those of all tiles are ranked. queries: s1_id, block,
+    embedding; pool: pool_id, block, embedding.
     """
-    pool = blocks_or_all(queries, pool, block)
+    queries, pool = blocks_or_all(queries, pool, block)
     parts = lambda df, name: df.groupBy(block).agg(F.greatest(F.ceil(F.count("*") / side), F.lit(1)).cast("int").alias(name))
-    grid = parts(queries, "nq").join(parts(pool, "np"), block)
-    q = queries.join(F.broadcast(grid), block).withColumn("x", F.pmod(F.xxhash64("s1_id"), F.col("nq"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
-    p = pool.join(F.broadcast(grid), block).withColumn("y", F.pmod(F.xxhash64("pool_id"), F.col("np"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    grid = parts(queries, "nq").join(parts(pool, "np"), block)  # a row for each block
+    q = queries.join(grid, block).withColumn("x", F.pmod(F.xxhash64("s1_id"), F.col("nq"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
+    p = pool.join(grid, block).withColumn("y", F.pmod(F.xxhash64("pool_id"), F.col("np"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     kinds = dict(queries.dtypes)["s1_id"], dict(pool.dtypes)["pool_id"]
 
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"s1_id": left["s1_id"][:0], "pool_id": right["pool_id"][:0], "emb_score": np.empty(0)})
         right = right.sort_values("pool_id", kind="stable")
-        a, b = (np.stack([np.asarray(v, dtype=np.float64) for v in f["embedding"]]) for f in (left, right))
-        score = a @ b.T
-        best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
-        n = best.shape[1]
-        return pd.DataFrame({"s1_id": np.repeat(left["s1_id"].to_numpy(), n), "pool_id": right["pool_id"].to_numpy()[best.ravel()], "emb_score": np.take_along_axis(score, best, axis=1).ravel()})
+        pool_ids, vectors = right["pool_id"].to_numpy(), np.stack(right["embedding"].to_list())
+        found = []
+        for low in range(0, len(left), QUERIES_AT_ONCE):
+            some = left.iloc[low : low + QUERIES_AT_ONCE]
+            at, score = best_products(np.stack(some["embedding"].to_list()), vectors, k)
+            found.append(pd.DataFrame({"s1_id": np.repeat(some["s1_id"].to_numpy(), at.shape[1]), "pool_id": pool_ids[at.ravel()], "emb_score": score.ravel()}))
+        return pd.concat(found, ignore_index=True)
 
-    keys = [F.col(block), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")]
     # New names for both sides, which may come from one table.
-    keys = [F.col(block).alias(block), *keys[1:]]
+    keys = [F.col(block).alias(block), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")]
     q, p = (df.select(*keys, F.col(i).alias(i), F.col("embedding").alias("embedding")) for df, i in ((q, "s1_id"), (p, "pool_id")))
     found = q.groupBy(block, "x", "y").cogroup(p.groupBy(block, "x", "y")).applyInPandas(tile, f"s1_id {kinds[0]}, pool_id {kinds[1]}, emb_score double")
     order = W.partitionBy("s1_id").orderBy(F.desc(F.round("emb_score", 9)), "pool_id")

@@ -43,12 +43,12 @@ def score_context(df: DataFrame, score: str, prefix: str, key: str = "s1_id", ti
 def pool_context(all_pairs: DataFrame, df: DataFrame, score: str = "prob", floor: float = FLOOR) -> DataFrame:
     """Rivalry for a pool record, judged over all_pairs: how many pairs, the best other one, the margin, whether on top.
 
-    One aggregate for each pool record keeps its two best scores, so that no group is sorted or held.
+    Only the two best rows of a pool record are ranked: all but two of each task's are left out before the shuffle.
     """
-    ranked = all_pairs.where(F.col(score) >= floor).groupBy("pool_id").agg(F.count("*").alias("_n"), F.max(score).alias("_first"))
-    top = all_pairs.where(F.col(score) >= floor).withColumn("_r", F.row_number().over(W.partitionBy("pool_id").orderBy(F.desc(score))))
-    second = top.where("_r = 2").select("pool_id", F.col(score).alias("_second"))
-    known = ranked.join(second, "pool_id", "left")
+    rivals = all_pairs.where(F.col(score) >= floor).select("pool_id", score)
+    best = rivals.withColumn("_r", F.row_number().over(W.partitionBy("pool_id").orderBy(F.desc(score)))).where("_r <= 2")
+    best = best.groupBy("pool_id").agg(F.max(F.when(F.col("_r") == 1, F.col(score))).alias("_first"), F.max(F.when(F.col("_r") == 2, F.col(score))).alias("_second"))
+    known = rivals.groupBy("pool_id").agg(F.count("*").alias("_n")).join(best, "pool_id")
     out = df.join(known, "pool_id", "left")
     first = F.col("_first")
     other = F.when(first.isNull(), F.lit(None).cast("double")).when(F.col(score) >= first, F.coalesce("_second", F.lit(0.0))).otherwise(first)

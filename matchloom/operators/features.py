@@ -17,7 +17,7 @@ ADDRESS = ["a_ratio", "a_partial", "a_tset", "a_tsort", "a_jac", "a_inter", "b_a
 META = ["source", "len_name_a", "len_name_b", "len_addr_a", "len_addr_b"]
 CONTEXT = ["name_addr", "n_tset", "a_tset", "n_skel_ratio", "emb_score", "tok_score"]
 #: Groups that ablations leave out by name.
-GROUPS = {"decoy": DECOYS, "emb": ["emb_score", "emb_rank", "s1_rank_emb_score", "s1_gap_emb_score", "cand_rank_emb_score", "cand_gap_emb_score"], "meta": META}
+GROUPS = {"decoy": DECOYS, "emb": ["emb_score", "emb_rank", "s1_rank_emb_score", "s1_gap_emb_score", "cand_rank_emb_score", "cand_gap_emb_score", "best_rank"], "country": ["lm_jac", "lm_inter", "legal_conflict", "legal_both", "n_alt_tset", "b_has_alt"], "meta": META}
 
 
 def decoy_features(a_skel: Column, b_skel: Column, a_clean: Column, b_clean: Column, a_addr: Column, b_addr: Column) -> dict[str, Column]:

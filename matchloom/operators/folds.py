@@ -40,17 +40,25 @@ def training_pairs(gold: DataFrame, rounds: int = 3, seed: int = 42) -> DataFram
     return gold.where(fold(F.col("s1_id"), 5) != 0).withColumn("round", F.row_number().over(order)).where(F.col("round") <= rounds)
 
 
-def area_batches(pairs: DataFrame, size: int, block: str = "country", text: str = "text") -> DataFrame:
+def area_batches(pairs: DataFrame, size: int, block: str = "country", text: str = "text", seed: int = 42) -> DataFrame:
     """Batches of one block, neighbours in area order, each primary record once in a batch; incomplete ones go.
 
-    Repeats of a record are put in rounds of their own, so that no batch holds it twice.
+    Repeats of a record are put in rounds of their own, so that no batch holds it twice. `turn` puts the batches in a
+    random order that is the same on every run. A block is numbered by the beginnings of its areas: rows before each
+    beginning, then the place within it.
     """
-    area = last_two(F.col(text))
     rounds = pairs.withColumn("round", F.row_number().over(W.partitionBy("s1_id").orderBy("pool_id")))
-    placed = rounds.withColumn("area", area).withColumn("place", F.row_number().over(W.partitionBy(block, "round").orderBy("area", "s1_id")) - 1)
-    batch = placed.withColumn("batch", F.floor(F.col("place") / size))
-    whole = F.count("*").over(W.partitionBy(block, "round", "batch")) == size
-    return batch.withColumn("_w", whole).where("_w").drop("_w", "place")
+    placed = rounds.withColumn("area", last_two(F.col(text))).withColumn("_head", F.left("area", F.lit(3)))
+    group = [block, "round"]
+    before = F.sum("_n").over(W.partitionBy(*group).orderBy("_head").rowsBetween(W.unboundedPreceding, -1))
+    heads = placed.groupBy(*group, "_head").agg(F.count("*").alias("_n"))
+    total = heads.groupBy(*group).agg(F.sum("_n").alias("_all"))
+    heads = heads.withColumn("_before", F.coalesce(before, F.lit(0))).join(total, group)
+    within = F.row_number().over(W.partitionBy(*group, "_head").orderBy("area", "s1_id")) - 1
+    batch = placed.withColumn("_k", within).join(heads.select(*group, "_head", "_before", "_all"), [*group, "_head"])
+    batch = batch.withColumn("batch", F.floor((F.col("_k") + F.col("_before")) / size)).where((F.col("batch") + 1) * size <= F.col("_all"))
+    turn = hashed(F.concat_ws("|", F.col(block), "round", "batch"), seed)
+    return batch.withColumn("turn", turn).drop("_head", "_k", "_before", "_all")
 
 
 def hard_pairs(pairs: DataFrame, share: float = 0.1, floor: float = 0.001, seed: int = 42) -> DataFrame:

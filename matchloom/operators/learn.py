@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.scores import fold
 from .context import score_context
 
-#: Settings of the classifier; trees of depth 7 stand for 127 leaves.
-SETTINGS = {"maxIter": 50, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8, "minInstancesPerNode": 50, "seed": 42}
+#: Settings of the classifier: trees of depth 7 have as many leaves as leaf-wise trees of 127 leaves.
+SETTINGS = {"maxIter": 50, "stepSize": 0.1, "maxDepth": 7, "subsamplingRate": 0.8, "minInstancesPerNode": 50, "seed": 42}
 #: Gain that a second stage must bring to be used.
 GATE = 0.0005
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(df.fillna(-1.0, columns))
+    """Features as a vector; what is missing counts as -1."""
+    return VectorAssembler(inputCols=columns, outputCol="_x").transform(df.fillna(-1.0, columns))
 
 
 def fit(df: DataFrame, columns: list[str], label: str = "label", validation: str | None = None, **settings):
@@ -34,18 +35,32 @@ def predict(model, df: DataFrame, columns: list[str], out: str = "prob") -> Data
     return done.withColumn(out, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(df: DataFrame, columns: list[str], folds: int = 5, key: str = "s1_id", out: str = "prob", **settings) -> tuple[DataFrame, list]:
-    """Each row scored by the model of the other folds, and the models; folds keep a primary record's pairs together."""
+def out_of_fold(df: DataFrame, columns: list[str], folds: int = 5, key: str = "s1_id", out: str = "prob", early_stopping: bool = True, **settings) -> tuple[DataFrame, list]:
+    """Each row scored by the model of the other folds, and the models; folds keep a primary record's pairs together.
+
+    With early stopping a fold's own rows end the boosting of the model that scores them.
+    """
     df = df.withColumn("_fold", fold(F.col(key), folds))
     models, parts = [], None
     for k in range(folds):
-        model = fit(df.where(F.col("_fold") != k), columns, **settings)
-        part = predict(model, df.where(F.col("_fold") == k), columns, out)
+        held_out = F.col("_fold") == k
+        if early_stopping:
+            model = fit(df.withColumn("_stop", held_out), columns, validation="_stop", **settings)
+        else:
+            model = fit(df.where(~held_out), columns, **settings)
+        part = predict(model, df.where(held_out), columns, out)
         models.append(model)
         parts = part if parts is None else parts.unionByName(part)
     return parts.drop("_fold"), models
 
 
+def fit_and_refit(df: DataFrame, columns: list[str], key: str = "s1_id", **settings):
+    """A stacker: boosting is stopped by fold 15 of 20, then all rows are fitted with as many trees."""
+    marked = df.withColumn("_stop", fold(F.col(key), 20) == 15)
+    trees = fit(marked, columns, validation="_stop", **settings).getNumTrees
+    return fit(df, columns, **{**settings, "maxIter": trees})
+
+
 def predict_mean(models: list, df: DataFrame, columns: list[str], out: str = "prob") -> DataFrame:
     """Mean of the fold models."""
     for i, m in enumerate(models):
@@ -70,15 +85,15 @@ def importance(models: list, columns: list[str], top: int = 15) -> list[tuple[st
     return sorted(zip(columns, mean), key=lambda x: (-x[1], x[0]))[:top]
 
 
-def save(models: list, path: str) -> None:
+def save(models: list, path: str, stage: int = 1) -> None:
     for i, m in enumerate(models):
-        m.write().overwrite().save(f"{path}/model_{i}")
+        m.write().overwrite().save(f"{path}/stage{stage}_model_{i}")
 
 
-def load(path: str, n: int) -> list:
+def load(path: str, n: int, stage: int = 1) -> list:
     from pyspark.ml.classification import GBTClassificationModel
 
-    return [GBTClassificationModel.load(f"{path}/model_{i}") for i in range(n)]
+    return [GBTClassificationModel.load(f"{path}/stage{stage}_model_{i}") for i in range(n)]
 
 
 def quarter_stack(df: DataFrame, columns: list[str], key: str = "s1_id", **settings) -> DataFrame:

@@ -92,20 +92,25 @@ def error_accounting(kinds: DataFrame) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str, by: str | None = None) -> DataFrame:
     """Area under the ROC curve by rank sums with ties shared, and log loss, overall or for each key.
 
-    Scores are counted by value first, so that the ordering works on distinct values.
+    Scores are counted by value first. Values are then numbered within slices of the logit, of which there are a few
+    thousand whatever the table's size: negatives of lower slices, then those below in the same slice.
     """
     from pyspark.sql import Window as W
 
     keys = [by] if by else []
     counts = df.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n"))
-    below = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    wins = counts.withColumn("_b", F.coalesce(F.sum("_n").over(below), F.lit(0)))
     q = F.least(F.greatest(F.col("_s"), F.lit(1e-15)), F.lit(1 - 1e-15))
-    out = wins.groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)), F.sum("_p") * F.sum("_n")).alias("auc"),
+    counts = counts.withColumn("_slice", F.floor(64 * F.ln(q / (1 - q))))
+    slices = counts.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_all"))
+    lower = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.select(*keys, "_slice", F.coalesce(F.sum("_all").over(lower), F.lit(0)).alias("_lower"))
+    within = W.partitionBy(*keys, "_slice").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_slice"]]
+    placed = counts.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("c").join(slices.alias("s"), on).select("c.*", "_lower")
+    return placed.groupBy(*keys).agg(
+        F.try_divide(F.sum(F.col("_p") * (F.col("_lower") + F.col("_in") + F.col("_n") / 2)), F.sum("_p") * F.sum("_n")).alias("auc"),
         (-F.sum(F.col("_p") * F.ln(q) + F.col("_n") * F.ln(1 - q)) / F.sum(F.col("_p") + F.col("_n"))).alias("logloss"),
     )
-    return out
 
 
 def submission_diff(a: DataFrame, b: DataFrame, dimension: DataFrame, key: str = "country") -> DataFrame:

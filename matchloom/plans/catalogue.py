@@ -7,7 +7,6 @@ for texts, embeddings for vectors.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +15,9 @@ from ..functions import similarity as sm
 from ..functions import text as tx
 from ..operators import blends, blocking, context, decide, features, folds, learn, metrics, validate
 from ..sources import sinks
+from ..sources.shared import written
 from . import reports
+from . import text_sql as ts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -96,7 +97,16 @@ def decide_expf(spark, d):
     return decide.decide(pairs_of(spark, d), decide.Params(alpha=1.5)).select("s1_id", "pool_id", *R6("prob"))
 
 
-@query()
+#: Leave-one-out counts: for each pair, the chances of 0, 1, ... matches among the others of its record.
+_EXACT = """ranked AS (SELECT s1_id, pool_id, prob, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, pool_id) AS k FROM o2o), lists AS (SELECT s1_id, list(prob ORDER BY k) AS ps FROM ranked WHERE k <= 15 GROUP BY ALL),
+loo AS (SELECT s1_id, unnest(range(1, len(ps) + 1)) AS i, 1 AS m, ps, [1.0::DOUBLE] AS q FROM lists
+  UNION ALL SELECT s1_id, i, m + 1, ps, CASE WHEN m = i THEN q ELSE list_transform(range(1, len(q) + 2), lambda j: coalesce(q[j], 0) * (1 - ps[m]) + CASE WHEN j > 1 THEN q[j - 1] * ps[m] ELSE 0 END) END FROM loo WHERE m <= len(ps)),
+terms AS (SELECT s1_id, i, ps, q, unnest(range(i, len(ps) + 1)) AS k FROM loo WHERE m > len(ps)),
+gains AS (SELECT s1_id, k, sum(ps[i] * list_sum(list_transform(range(1, len(q) + 1), lambda j: q[j] * 1.25 / (0.25 * j + k)))) AS e, any_value(list_product(list_transform(ps, lambda x: 1 - x))) AS none FROM terms GROUP BY s1_id, k),
+chosen AS (SELECT s1_id, arg_max(k, (round(e, 12), -k)) AS n FROM gains GROUP BY s1_id HAVING max(e) > 1.5 * any_value(none))"""
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {O2O}, {_EXACT} SELECT s1_id, pool_id, round(prob, 6) AS prob FROM ranked JOIN chosen USING (s1_id) WHERE k <= n")
 def decide_exact(spark, d):
     return decide.decide(pairs_of(spark, d), decide.Params("exact", alpha=1.5)).select("s1_id", "pool_id", *R6("prob"))
 
@@ -133,27 +143,40 @@ def error_accounting(spark, d):
     return metrics.error_accounting(kinds_of(spark, d)).select("tp", "fp", "fp_singleton", "fn", "fn_blocking", "fn_rejected", *R6("precision", "recall"))
 
 
-_GRID = " UNION ALL ".join(f"SELECT {i} AS place, {t} AS t, {r} AS r" for i, (t, r) in enumerate((p.t, p.r) for p in decide.FULL_GRID if p.method == "thresh"))
+_GRID = " UNION ALL ".join(f"SELECT {i} AS place, '{p.method}' AS method, {p.t if p.method == 'thresh' else 'NULL'} AS t, {p.r if p.method == 'thresh' else 'NULL'} AS r, {'NULL' if p.method == 'thresh' else p.alpha} AS alpha" for i, p in enumerate(decide.FULL_GRID))
 
 
-@query(
-    f"""WITH {PAIRS}, {DIM}, {O2O}, grid AS ({_GRID}), both_ AS (SELECT true AS one_to_one, s1_id, prob, label FROM o2o UNION ALL SELECT false, s1_id, prob, label FROM pairs),
-bst AS (SELECT *, max(prob) OVER (PARTITION BY one_to_one, s1_id) AS b FROM both_), hit AS (SELECT one_to_one, place, s1_id, count(*) AS np, sum(label) AS tp FROM bst JOIN grid ON prob >= t AND prob >= r * b GROUP BY ALL),
-g AS (SELECT dim.s1_id, coalesce(sum(label), 0) AS ng FROM dim LEFT JOIN pairs USING (s1_id) GROUP BY ALL),
-s AS (SELECT one_to_one, place, sum({F05}) AS f, sum(CASE WHEN ng = 0 THEN 1 ELSE 0 END) AS spoilt FROM hit JOIN g USING (s1_id) GROUP BY ALL)
-SELECT t, r, o.one_to_one, round((coalesce(f, 0) + (SELECT count(*) FROM g WHERE ng = 0) - coalesce(spoilt, 0)) / (SELECT count(*) FROM g), 6) AS macro_f05
-FROM grid CROSS JOIN (SELECT unnest([true, false]) AS one_to_one) o LEFT JOIN s ON s.place = grid.place AND s.one_to_one = o.one_to_one"""
-)
+def _tune_sql(pairs: str, dimension: str, grid: str, options: str = "true, false") -> str:
+    """CTEs up to `tuned` over tables of pairs (s1_id, pool_id, prob, label) and of primary records.
+
+    A record's pairs are one row, in order; its best prefix does not depend on alpha.
+    """
+    return f"""grid AS ({grid}), opt AS (SELECT unnest([{options}]) AS one_to_one),
+marked AS (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY prob DESC, s1_id) = 1 AS top FROM {pairs}),
+lists AS (SELECT one_to_one, s1_id, list(prob ORDER BY prob DESC, pool_id) AS ps, list(label ORDER BY prob DESC, pool_id) AS ls FROM marked JOIN opt ON top OR NOT one_to_one GROUP BY ALL),
+golds AS (SELECT {dimension}.s1_id, coalesce(sum(label), 0) AS ng FROM {dimension} LEFT JOIN {pairs} ON {pairs}.s1_id = {dimension}.s1_id GROUP BY ALL),
+es AS (SELECT *, list_transform(range(1, len(ps) + 1), lambda k: 1.25 * list_sum(ps[1:k]) / (0.25 * list_sum(ps) + k)) AS e, list_product(list_transform(ps, lambda x: 1 - x)) AS none FROM lists),
+bests AS (SELECT *, list_max(e) AS best, list_position(e, list_max(e)) AS kk FROM es),
+said AS (SELECT one_to_one, place, s1_id, len(list_filter(ps, lambda x: x >= t AND x >= r * ps[1])) AS np, ls FROM bests, grid WHERE method = 'thresh' AND ps[1] >= t
+  UNION ALL SELECT one_to_one, place, s1_id, kk, ls FROM bests, grid WHERE method = 'expf' AND best > alpha * none),
+hits AS (SELECT one_to_one, place, s1_id, np, list_sum(ls[1:np]) AS tp FROM said),
+sums AS (SELECT one_to_one, place, sum({F05}) AS f, sum(CASE WHEN ng = 0 THEN 1 ELSE 0 END) AS spoilt FROM hits JOIN golds USING (s1_id) GROUP BY ALL),
+tuned AS (SELECT grid.*, opt.one_to_one, (coalesce(f, 0) + (SELECT count(*) FROM golds WHERE ng = 0) - coalesce(spoilt, 0)) / (SELECT count(*) FROM golds) AS macro_f05
+  FROM grid CROSS JOIN opt LEFT JOIN sums ON sums.place = grid.place AND sums.one_to_one = opt.one_to_one)"""
+
+
+@query(f"WITH {PAIRS}, {DIM}, {_tune_sql('pairs', 'dim', _GRID)} SELECT method, CAST(t AS DOUBLE) AS t, CAST(r AS DOUBLE) AS r, CAST(alpha AS DOUBLE) AS alpha, one_to_one, round(macro_f05, 6) AS macro_f05 FROM tuned")
 def tune_grid(spark, d):
     p = pairs_of(spark, d)
-    tuned = decide.tune(p, gold_of(p), dimension_of(spark, d), [g for g in decide.FULL_GRID if g.method == "thresh"])
-    return tuned.select("t", "r", "one_to_one", *R6("macro_f05"))
+    tuned = decide.tune(p, gold_of(p), dimension_of(spark, d))
+    return tuned.select("method", "t", "r", "alpha", "one_to_one", *R6("macro_f05"))
 
 
-@query()
+@query(f"WITH {PAIRS}, {DIM}, {_tune_sql('pairs', 'dim', _GRID)} SELECT method, CAST(t AS DOUBLE) AS t, CAST(r AS DOUBLE) AS r, CAST(alpha AS DOUBLE) AS alpha, one_to_one, round(macro_f05, 6) AS macro_f05 FROM tuned ORDER BY round(tuned.macro_f05, 12) DESC, tuned.one_to_one DESC, place LIMIT 1")
 def best_setting(spark, d):
     p = pairs_of(spark, d)
-    return decide.best_setting(decide.tune(p, gold_of(p), dimension_of(spark, d)))
+    best = decide.best_setting(decide.tune(p, gold_of(p), dimension_of(spark, d)))
+    return best.select("method", "t", "r", "alpha", "one_to_one", *R6("macro_f05"))
 
 
 # --- context
@@ -312,7 +335,7 @@ def text_sides(spark, d):
 @query(
     r"""WITH t AS (SELECT DISTINCT doc_id, lang, CAST(substr(source, 4) AS INT) % 3 AS side, unnest(string_split(trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g')), ' ')) AS tok FROM documents),
 n AS (SELECT lang, count(DISTINCT doc_id) AS n FROM documents WHERE CAST(substr(source, 4) AS INT) % 3 <> 0 GROUP BY ALL),
-w AS (SELECT lang, tok, ln(1 + max(n) / count(*)) AS w FROM t JOIN n USING (lang) WHERE side <> 0 GROUP BY lang, tok HAVING count(*) <= 50),
+w AS (SELECT lang, tok, ln(1 + max(n) / count(*)) AS w FROM t JOIN n USING (lang) WHERE side <> 0 GROUP BY lang, tok HAVING count(*) <= 3000),
 x AS (SELECT doc_id, lang, side, tok, w FROM t JOIN w USING (lang, tok)), m AS (SELECT doc_id, sqrt(sum(w * w)) + 1e-6 AS norm FROM x GROUP BY ALL),
 s AS (SELECT a.doc_id AS s1_id, b.doc_id AS pool_id, sum(a.w * a.w) AS dot FROM x a JOIN x b ON a.lang = b.lang AND a.tok = b.tok AND a.side = 0 AND b.side <> 0 GROUP BY ALL),
 c AS (SELECT s1_id, pool_id, dot / (p.norm * q.norm) AS score FROM s JOIN m p ON p.doc_id = s1_id JOIN m q ON q.doc_id = pool_id)
@@ -329,10 +352,10 @@ def vector_sides(spark, d):
 
 
 KNN = """knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, pool_id) AS emb_rank FROM
-  (SELECT a.vec_id AS s1_id, b.vec_id AS pool_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)) WHERE emb_rank <= 20)"""
+  (SELECT a.vec_id AS s1_id, b.vec_id AS pool_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)) WHERE emb_rank <= 50)"""
 
 
-@query(f"WITH {KNN} SELECT s1_id, pool_id, round(score, 5) AS emb_score, emb_rank FROM knn")
+@query(f"WITH {KNN} SELECT s1_id, pool_id, round(score, 5) AS emb_score, emb_rank FROM knn WHERE emb_rank <= 20")
 def knn_block(spark, d):
     q, p = vector_sides(spark, d)
     return blocking.vector_pass(q, p, 20).select("s1_id", "pool_id", F.round("emb_score", 5).alias("emb_score"), "emb_rank")
@@ -362,31 +385,22 @@ def blocking_recall(spark, d):
 
 
 def heads(spark, d):
-    """First eight words of each document, as a name; the next eight as an address."""
-    w = F.split(F.trim(F.regexp_replace("text", "[ \\t\\n\\x0b\\f\\r]+", " ")), " ")
-    return table(spark, d, "documents").select("doc_id", "lang", F.array_join(F.slice(w, 1, 8), " ").alias("business_name"), F.array_join(F.slice(w, 9, 8), " ").alias("business_address"))
+    """The first line of each document as a name, all its other lines as an address."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", 2)
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[ \\t\\n\\x0b\\f\\r]+", " "))
+    return table(spark, d, "documents").select("doc_id", "lang", plain(F.get(lines, F.lit(0))).alias("business_name"), plain(F.get(lines, F.lit(1))).alias("business_address"))
 
 
-_HEADS = r"heads AS (SELECT doc_id, lang, array_to_string(w[1:8], ' ') AS business_name, array_to_string(w[9:16], ' ') AS business_address FROM (SELECT doc_id, lang, string_split(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), ' ') AS w FROM documents))"
-_BASIC = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower({c}), '&', ' and '), '''', ''), '\\b([a-z])\\.([a-z])\\b', '\\1\\2', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+_LINES = lambda c: f"trim(regexp_replace({c}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
+_HEADS = f"""heads AS (SELECT doc_id, lang, {_LINES("regexp_extract(t, '^([^\\n]*)', 1)")} AS business_name, {_LINES("CASE WHEN contains(t, chr(10)) THEN substr(t, strpos(t, chr(10)) + 1) ELSE '' END")} AS business_address FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents))"""
 
 
-@query(rf"WITH {_HEADS} SELECT doc_id, {_BASIC('business_name')} AS basic FROM heads WHERE lang = 'en' AND regexp_full_match(business_name, '[\x00-\x7f]*')")
+@query(f"SELECT doc_id, {ts.basic(ts.ascii_form("coalesce(text, '')"))} AS basic FROM documents")
 def basic_text(spark, d):
-    h = heads(spark, d).where((F.col("lang") == "en") & ~F.col("business_name").rlike(r"[^\x00-\x7f]"))
-    return h.select("doc_id", tx.basic(F.col("business_name")).alias("basic"))
+    return table(spark, d, "documents").select("doc_id", tx.basic(F.col("text")).alias("basic"))
 
 
-def _skeleton_sql(c: str) -> str:
-    for a, b in tx.SOUNDS:
-        c = f"replace({c}, '{a}', '{b}')"
-    tail = f"array_to_string(list_transform(string_split({c}, ' '), lambda x: substr(x, 1, 1) || regexp_replace(substr(x, 2), '[aeiouy]', '', 'g')), ' ')"
-    for letter in "abcdefghijklmnopqrstuvwxyz0123456789":
-        tail = f"regexp_replace({tail}, '{letter}+', '{letter}', 'g')"
-    return tail
-
-
-@query(f"SELECT c_custkey, {_skeleton_sql('lower(c_mktsegment)')} AS skeleton FROM customer")
+@query(f"SELECT c_custkey, {ts.skeleton('lower(c_mktsegment)')} AS skeleton FROM customer")
 def skeleton(spark, d):
     return table(spark, d, "customer").select("c_custkey", tx.skeleton(F.lower("c_mktsegment")).alias("skeleton"))
 
@@ -398,12 +412,12 @@ def ocr_repair(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", tx.fix_ocr(F.replace(F.lower("s_name"), F.lit("#"), F.lit(""))).alias("ocr"))
 
 
-@query()
+@query(f"WITH {_HEADS}, {ts.name_views('heads')} SELECT * FROM names")
 def name_views(spark, d):
     return tx.name_views(heads(spark, d)).select("doc_id", "name_clean", "name_core", "name_skel", "name_ns", "name_alt", "name_alt_skel")
 
 
-@query()
+@query(f"WITH {_HEADS}, {ts.address_views('heads')} SELECT * FROM addresses")
 def address_views(spark, d):
     return tx.address_views(heads(spark, d)).select("doc_id", "addr_clean", "postal", "nums", "landmarks")
 
@@ -445,14 +459,18 @@ def levenshtein_house(spark, d):
     return part_pairs(spark, d).select("a", "b", F.levenshtein("a", "b").alias("distance"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_PARTS}, {ts.fuzzy('pp')} SELECT a, b, round(ratio, 6) AS ratio, round(partial, 6) AS partial, round(token_sort, 6) AS token_sort, round(token_set, 6) AS token_set FROM fuzzy")
 def fuzzy_ratios(spark, d):
     names = ["ratio", "partial", "token_sort", "token_set"]
     f = sm.scores([(F.col("a"), F.col("b"), n) for n in names])
     return part_pairs(spark, d).withColumn("f", f).select("a", "b", *[F.round(F.col("f")[i], 6).alias(n) for i, n in enumerate(names)])
 
 
-@query()
+_VIEWS = f"{_HEADS}, {ts.name_views('heads')}, {ts.address_views('heads')}, views AS (SELECT * FROM names JOIN addresses USING (doc_id))"
+_SIDES = ", ".join(f"{s}.{v} AS {s}_{v}" for v in ("name_skel", "name_clean", "addr_clean") for s in "ab")
+
+
+@query(f"WITH {_VIEWS}, sides AS (SELECT a.doc_id, {_SIDES} FROM views a JOIN views b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1), {ts.decoys('sides')}")
 def decoy_features(spark, d):
     h = tx.address_views(tx.name_views(heads(spark, d)))
     a, b = h.where("doc_id % 2 = 0"), h.where("doc_id % 2 = 1").withColumn("doc_id", F.col("doc_id") - 1)
@@ -463,9 +481,11 @@ def decoy_features(spark, d):
 
 
 def entities(spark, d):
-    h = tx.normalize(heads(spark, d).withColumn("country", F.col("lang"))).withColumn("entity_id", F.col("doc_id")).withColumn("source", F.lit(2))
-    h = h.persist(StorageLevel.DISK_ONLY)  # as the normalize stage's table: the views are not computed anew for each use
-    return h.where("doc_id % 3 = 0"), h.where("doc_id % 3 <> 0")
+    """Parts as records: their names, and size, brand and type as an address; a type is a country."""
+    p = table(spark, d, "part")
+    h = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("business_name"), F.concat_ws(" ", F.col("p_size").cast("string"), "p_brand", "p_type").alias("business_address"), F.col("p_type").alias("country"), F.lit(2).alias("source"))
+    h = written(tx.normalize(h), "entities")  # as the normalize stage's table
+    return h.where("entity_id % 3 = 0"), h.where("entity_id % 3 <> 0")
 
 
 @query()
@@ -476,11 +496,22 @@ def pair_features(spark, d):
     return features.pair_features(context.global_context(cands), s1, pool)
 
 
-@query()
+_RECORDS = f"""recs AS (SELECT p_partkey AS doc_id, p_name AS business_name, concat_ws(' ', CAST(p_size AS VARCHAR), p_brand, p_type) AS business_address FROM part),
+{ts.name_views('recs')}, {ts.address_views('recs')}, sides AS (SELECT a.doc_id AS s1_id, a.doc_id + 1 AS pool_id, a.name_core AS an, coalesce(b.name_core, '') AS bn, a.addr_clean AS aa, coalesce(b.addr_clean, '') AS ba, a.nums AS au, coalesce(b.nums, '') AS bu,
+  trim(regexp_replace(regexp_replace(a.addr_clean, '[0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS as_, trim(regexp_replace(regexp_replace(coalesce(b.addr_clean, ''), '[0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS bs
+  FROM (SELECT * FROM names JOIN addresses USING (doc_id)) a LEFT JOIN (SELECT * FROM names JOIN addresses USING (doc_id)) b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 3 = 0),
+three AS (SELECT DISTINCT an AS a, bn AS b FROM sides UNION SELECT aa, ba FROM sides UNION SELECT as_, bs FROM sides)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_RECORDS}, {ts.fuzzy('three')} SELECT s1_id, pool_id, round(n.token_set, 6) AS r_name_tset, CAST(an = bn AS INT) AS r_name_eq, CASE WHEN aa <> '' AND ba <> '' THEN round(d.token_set, 6) END AS r_addr_tset, CASE WHEN aa <> '' AND ba <> '' THEN round(s.token_set, 6) END AS r_street_tset,
+CAST(split_part(au, ' ', 1) <> '' AND split_part(au, ' ', 1) = split_part(bu, ' ', 1) AS INT) AS r_num_eq, CAST(au <> '' AND bu <> '' AND len(list_intersect(string_split(au, ' '), string_split(bu, ' '))) = 0 AS INT) AS r_num_conflict
+FROM sides JOIN fuzzy n ON n.a = an AND n.b = bn JOIN fuzzy d ON d.a = aa AND d.b = ba JOIN fuzzy s ON s.a = as_ AND s.b = bs"""
+)
 def raw_features(spark, d):
     s1, pool = entities(spark, d)
     pairs = s1.select(F.col("entity_id").alias("s1_id"), (F.col("entity_id") + 1).alias("pool_id"))
-    return features.raw_features(pairs, s1, pool)
+    return features.raw_features(pairs, s1, pool).select("s1_id", "pool_id", *R6("r_name_tset"), "r_name_eq", *R6("r_addr_tset", "r_street_tset"), "r_num_eq", "r_num_conflict")
 
 
 @query(r"SELECT conv_id, turn, regexp_matches(text, '[^\x00-\x{24F}]') AS non_latin FROM conversations")
@@ -505,7 +536,7 @@ def gold_explode(spark, d):
     return lists.select(F.col("source1_entity_id").alias("s1_id"), each.alias("pool_id")).select("s1_id", F.col("pool_id").cast("long").alias("pool_id"))
 
 
-@query()
+@query(f"WITH RECURSIVE keys AS (SELECT o_orderkey AS k FROM orders), {ts.crc32('keys')} SELECT o_orderkey, CAST(v % 5 AS INT) AS fold5, CAST(v % 10 AS INT) AS fold10, CAST(v % 20 AS INT) AS fold20 FROM orders JOIN crc ON k = o_orderkey")
 def crc_folds(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
     return o.select("o_orderkey", *[sc.fold(F.col("o_orderkey"), n).alias(f"fold{n}") for n in (5, 10, 20)])
@@ -521,10 +552,13 @@ def hash_fraction(spark, d):
     return folds.fraction(table(spark, d, "orders").select(F.col("o_orderkey").alias("s1_id")), 0.25)
 
 
-@query()
+@query(
+    f"""WITH {_HEADS}, w AS (SELECT doc_id AS s1_id, lang AS country, {ts.words('business_address')} AS w FROM heads), p AS (SELECT s1_id, country, row_number() OVER (PARTITION BY country ORDER BY array_to_string(w[greatest(len(w) - 1, 1):], ' '), s1_id) - 1 AS place FROM w),
+b AS (SELECT s1_id, country, 1 AS round, place // 16 AS batch FROM p) SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY country, batch) AS n FROM b) WHERE n = 16"""
+)
 def area_batches(spark, d):
     h = heads(spark, d).select(F.col("doc_id").alias("s1_id"), F.col("doc_id").alias("pool_id"), F.col("lang").alias("country"), F.col("business_address").alias("text"))
-    return folds.area_batches(h, 16).select("s1_id", "country", "round", "batch")
+    return folds.area_batches(h, 16).select("s1_id", "country", "round", "batch", F.lit(16).alias("n"))
 
 
 @query(
@@ -569,10 +603,30 @@ def auc_logloss(spark, d):
     return metrics.auc(pairs_of(spark, d), "prob", "label").select(*R6("auc", "logloss"))
 
 
-@query()
+_FAST = " UNION ALL ".join(f"SELECT {i} AS place, 'expf' AS method, NULL::DOUBLE AS t, NULL::DOUBLE AS r, {p.alpha} AS alpha" for i, p in enumerate(decide.FAST_GRID))
+
+
+def _half(h: int) -> str:
+    """Tables of one half of fold 0, which is fold h of ten: its pairs and its records."""
+    return f"p{h} AS (SELECT pairs.* FROM pairs JOIN crc ON k = s1_id WHERE v % 10 = {h}), d{h} AS (SELECT dim.* FROM dim JOIN crc ON k = s1_id WHERE v % 10 = {h})"
+
+
+def _chosen(h: int, other: int) -> str:
+    return f"""best{other} AS (WITH {_tune_sql(f'p{other}', f'd{other}', _FAST, 'true')} SELECT alpha FROM tuned ORDER BY round(macro_f05, 12) DESC, place LIMIT 1),
+o{h} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY prob DESC, s1_id) AS r FROM p{h}) WHERE r = 1),
+x{h} AS (SELECT s1_id, prob, label, row_number() OVER o AS k, 1.25 * sum(prob) OVER (o ROWS UNBOUNDED PRECEDING) / (0.25 * sum(prob) OVER g + row_number() OVER o) AS e, product(1 - prob) OVER g AS none FROM o{h} WINDOW o AS (PARTITION BY s1_id ORDER BY prob DESC, pool_id), g AS (PARTITION BY s1_id)),
+y{h} AS (SELECT *, max(e) OVER (PARTITION BY s1_id) AS best FROM x{h}), z{h} AS (SELECT *, min(CASE WHEN e = best THEN k END) OVER (PARTITION BY s1_id) AS kk FROM y{h}),
+c{h} AS (SELECT s1_id, count(*) AS np, sum(label) AS tp FROM z{h} WHERE k <= kk AND best > (SELECT alpha FROM best{other}) * none GROUP BY ALL),
+s{h} AS (SELECT country, {F05} AS f FROM (SELECT country, s1_id, coalesce(np, 0) AS np, coalesce(tp, 0) AS tp, coalesce(ng, 0) AS ng FROM d{h} LEFT JOIN c{h} USING (s1_id) LEFT JOIN (SELECT s1_id, sum(label) AS ng FROM p{h} GROUP BY ALL) USING (s1_id)))"""
+
+
+@query(
+    f"""WITH RECURSIVE {PAIRS}, {DIM}, keys AS (SELECT o_orderkey AS k FROM orders), {ts.crc32('keys')}, {_half(0)}, {_half(5)}, {_chosen(0, 5)}, {_chosen(5, 0)}
+SELECT country, round(avg(f), 6) AS macro_f05, count(*) AS n FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s5) GROUP BY country"""
+)
 def cross_fitted(spark, d):
     p = pairs_of(spark, d)
-    return reports.cross_fitted(p, gold_of(p), dimension_of(spark, d))
+    return reports.cross_fitted(p, gold_of(p), dimension_of(spark, d)).select("country", *R6("macro_f05"), "n")
 
 
 @query()

@@ -16,11 +16,15 @@ GOLD = ["source1_entity_id", "matched_entity_ids"]
 SCORE_PATTERNS = ("ce_{kind}_part*.parquet", "ce_{kind}_contested_part*.parquet", "{kind}_part*.parquet")
 
 
-def read_tsv(spark: SparkSession, path: str, columns: list[str], usecols: list[str] | None = None, quote: str = '"') -> DataFrame:
-    """A table with a header, all strings; an empty field is an empty string. quote='' takes quotes as they stand."""
+def read_tsv(spark: SparkSession, path: str, columns: list[str], usecols: list[str] | None = None, quote: str = '"', lines: bool = False) -> DataFrame:
+    """A table with a header, all strings; an empty field is an empty string. quote='' takes quotes as they stand.
+
+    With lines, file_at and line_at put the rows in the file's order.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     df = spark.read.schema(schema).options(sep="\t", header=True, quote=quote, escape=quote or "\\").csv(path)
-    return df.select(*(usecols or columns)).fillna("")
+    place = [F.col("_metadata.file_block_start").alias("file_at"), F.monotonically_increasing_id().alias("line_at")] if lines else []
+    return df.select(*(usecols or columns), *place).fillna("", usecols or columns)
 
 
 def load_sources(spark: SparkSession, data_dir: str, split: str) -> tuple[DataFrame, DataFrame]:
