@@ -30,7 +30,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_codec.code(docs, queries.vocabulary("piece_bpe_32k.model"))
+    """Ids to train on, with digests of the ids and of what they decode to."""
+    return piece_codec.code(docs, queries.vocabulary("piece_bpe_32k.model"), keep=("ids",))
 
 
 STAGES = [
