@@ -20,8 +20,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_group, shared_dir
+from .common import attach_group, shared_dir, shuffle_tasks, written
 
+#: Records and packed bytes after which a task begins another archive, which bounds the index that it holds, and bytes
+#: of an archive that a task reads.
+MOST_RECORDS, MOST_BYTES, RANGE = 50_000, 1 << 30, 32 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: The profile of revisit records, signatures of the ZIP format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,7 +57,7 @@ def record_bytes(kind: str, page: int | None, url: str | None, payload: bytes, r
 
 
 def write_archives(pages: DataFrame, directory: str, least: int = 0, date: str = "2020-01-01T00:00:00Z", level: int = 1) -> DataFrame:
-    """Writes pages (page_id, url, html) as archives, one for each task; returns path and records of each.
+    """Writes pages (page_id, url, html) as archives, one or more for each task; returns path and records of each.
 
     A null html is an empty payload. Among records with equal payloads of at least `least` bytes those with the
     smallest page_id are responses (rows that repeat that id too), the others revisit it; rows without an id always
@@ -77,28 +80,34 @@ def write_archives(pages: DataFrame, directory: str, least: int = 0, date: str =
         filesystem, root = fs.FileSystem.from_uri(directory)
         filesystem.create_dir(root, recursive=True)
         task = TaskContext.get()
-        name = f"{root}/part-{task.partitionId():06d}.wacz"
-        temporary = f"{name}.{task.taskAttemptId()}.tmp"
-        lines, at, n = [], 0, 0
-        with filesystem.open_output_stream(temporary) as out:
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
-                with archive.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as data:
-                    for batch in batches:
-                        for page, url, text, first in zip(*[c.to_pylist() for c in batch.columns]):
-                            kind = "response" if first is None else "revisit"
-                            payload = text.encode()
-                            packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                            packed = packer.compress(record_bytes(kind, page, url, payload, first, date)) + packer.flush()
+
+        def records() -> Iterator[tuple[int | None, bytes]]:
+            for batch in batches:
+                for page, url, text, first in zip(*[c.to_pylist() for c in batch.columns]):
+                    kind = "response" if first is None else "revisit"
+                    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+                    yield page, packer.compress(record_bytes(kind, page, url, text.encode(), first, date)) + packer.flush()
+
+        coming, number = records(), 0
+        following = next(coming, None)
+        while following:
+            name = f"{root}/part-{task.partitionId():06d}-{number:05d}.wacz"
+            temporary = f"{name}.{task.taskAttemptId()}.tmp"
+            lines, at, number = [], 0, number + 1
+            with filesystem.open_output_stream(temporary) as out:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
+                    with archive.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as data:
+                        while following and len(lines) < MOST_RECORDS and at < MOST_BYTES:
+                            page, packed = following
                             data.write(packed)
                             lines.append(json.dumps({"page": page, "offset": at, "length": len(packed)}))
-                            at, n = at + len(packed), n + 1
-                with archive.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as index:
-                    index.write("".join(line + "\n" for line in lines).encode())
-        if n:
+                            at += len(packed)
+                            following = next(coming, None)
+                    with archive.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as index:
+                        for some in range(0, len(lines), 1000):
+                            index.write("".join(line + "\n" for line in lines[some : some + 1000]).encode())
             filesystem.move(temporary, name)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{directory}/{name.rsplit('/', 1)[1]}"]), pa.array([n], pa.int64())], ["path", "records"])
-        else:
-            filesystem.delete_file(temporary)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{directory}/{name.rsplit('/', 1)[1]}"]), pa.array([len(lines)], pa.int64())], ["path", "records"])
 
     return rows.mapInArrow(write, "path string, records long")
 
@@ -175,8 +184,8 @@ def parse_record(raw: bytes) -> dict:
     return fields | {"block": rest[: int(fields["content-length"])]}
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """Every record of an index, read by its range: page_id, url, record_type, refers_to, payload_bytes,
+def read_records(index: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Every record of an index, read by its range, in so many tasks (None: as the session sees fit): page_id, url, record_type, refers_to, payload_bytes,
     payload_digest (both of the full payload, for revisits too) and payload (null for revisits).
 
     Payload digests are checked against the bytes read.
@@ -209,7 +218,8 @@ def read_records(index: DataFrame) -> DataFrame:
         if file:
             file.close()
 
-    return index.repartition("path", F.floor(F.col("offset") / (32 << 20))).sortWithinPartitions("path", "offset").mapInArrow(read, schema)
+    keys = "path", F.floor(F.col("offset") / RANGE)
+    return (index.repartition(tasks, *keys) if tasks else index.repartition(*keys)).sortWithinPartitions("path", "offset").mapInArrow(read, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
@@ -217,4 +227,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFra
     directory = shared_dir(spark, "warc")
     paths = directory + "-paths"
     write_archives(pages, directory, least).write.parquet(paths)
-    return read_records(read_index(spark.read.schema("path string, records long").parquet(paths)))
+    index = written(read_index(spark.read.schema("path string, records long").parquet(paths)), "index")
+    # Rows of the index are small, what they stand for is not: the number of tasks follows the archives' bytes.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    return read_records(index, max(-(-size // RANGE), shuffle_tasks(spark)))
