@@ -20,7 +20,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 def docs_of(spark, texts, sources=None):
     """Documents with extra columns whose names clash with the operators' own."""
-    rows = [(i, t, (sources or {}).get(i, f"s{i % 3}"), "x", "y", "z", "w") for i, t in texts]
+    rows = [(i, t, (sources or {}).get(i, f"s{(i or 0) % 3}"), "x", "y", "z", "w") for i, t in texts]
     return spark.createDataFrame(rows, DOC)
 
 
@@ -156,12 +156,17 @@ def test_passages_of_long_texts(spark):
     assert got[5]["kept"] == "other" and got[2]["kept"] == "x y"
 
 
-def test_paths_between_branches(spark):
+@pytest.mark.parametrize("source", ["one", "each", "mixed"])
+def test_paths_between_branches(spark, source):
+    rnd = random.Random(2)
     chain = [(k, k + 1, 2) for k in range(70)]  # begin, end, more: one path of 70 edges
     edges = [*chain, (100, 101, 0), (101, 102, 1), (101, 103, 1), (200, 201, 0), (201, 202, 3), (202, 200, 0), (300, 300, 0)]
-    df = spark.createDataFrame([(1000 + i, *e) for i, e in enumerate(edges)] * 2, "edge long, begin long, end long, more long")
+    place = {"one": lambda i: (1, 3 * i), "each": lambda i: (i, 0), "mixed": lambda i: (rnd.randrange(4), 3 * i)}[source]
+    rows_ = [(1000 + i, *e, sid, 5, at) for i, e in enumerate(edges) for sid, at in [place(i)]] * 2
+    df = spark.createDataFrame(rows_, "edge long, begin long, end long, more long, sid long, sth long, at long")
     got = {r["edge"]: (r["path"], r["hops"], r["offset"]) for r in word_graph.paths(df).collect()}
-    assert got == {1000 + i: (1000, i, 3 * i) for i in range(70)} | {k: (k, 0, 0) for k in range(1070, 1077)}
+    assert {k: v for k, v in got.items() if k < 1073 or k == 1076} == {1000 + i: (1000, i, 3 * i) for i in range(70)} | {k: (k, 0, 0) for k in (1070, 1071, 1072, 1076)}
+    assert set(got) == set(range(1000, 1077)) and all(1073 <= got[k][0] <= 1075 for k in (1073, 1074, 1075))
     assert word_graph.paths(df.limit(0)).count() == 0
 
 
@@ -179,21 +184,19 @@ def test_runs_of_keys():
     assert seen == list(range(1000))
 
 
-def test_shared_folder(spark, tmp_path, monkeypatch):
-    before = spark.conf.get("spark.matchloom.shared", None)
-    spark.conf.set("spark.matchloom.shared", str(tmp_path))
-    try:
-        df = common.written(spark.range(5), "x")
-        assert df.count() == 5 and df._written_at.startswith(f"file://{tmp_path}/x-")
-        common.forget(df)
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.matchloom.shared")
-    with monkeypatch.context() as m, pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        m.setattr(spark.sparkContext, "master", "yarn")
-        common.shared_dir(spark, "x")
-    if before:
-        spark.conf.set("spark.matchloom.shared", before)
+def test_shared_folder(spark):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    df = common.written(spark.range(5), "x")
+    folder = Path(df._written_at.removeprefix("file://"))
+    assert df.count() == 5 and df._written_at.startswith("file:///") and folder.is_dir()
+    common.forget(df, spark.range(1))
+    assert not folder.exists()
+    assert common.qualified(spark, "/checkpoints/job") == "file:///checkpoints/job"
+    elsewhere = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(elsewhere, "x")
 
 
 def plain_repeats(texts, size):
@@ -340,6 +343,46 @@ def odd_texts(seed):
     return ODD + ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 60))) for _ in range(500)]
 
 
+def test_token_counts_of_all_letters():
+    """Every code point in a word of its own and between letters, as the library counts it."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), token_counts.WordCounter(open(path, encoding="utf-8").read())
+    for low in range(0, 0x110000, 0x4000):
+        texts = [f"{chr(c)} a{chr(c)}B {chr(c)}{chr(c)}'S" for c in range(low, low + 0x4000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 32 < 2)]
+        for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert counter.count(t) == len(e.ids), hex(ord(t[0]))
+
+
+def test_token_counts_of_other_tokenizers():
+    import json
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    for change in (lambda c: c["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="x+"), lambda c: c["added_tokens"][0].update(lstrip=True), lambda c: c["model"].update(ignore_merges=True), lambda c: c["normalizer"]["normalizers"].pop()):
+        config = json.load(open(path, encoding="utf-8"))
+        change(config)
+        with pytest.raises(ValueError, match="another build"):
+            token_counts.WordCounter(json.dumps(config))
+
+
+def test_counts_and_pieces_of_long_texts(spark):
+    """Texts of a megabyte: one word, one letter, many short words, letters without a piece."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    json_path, model_path = queries.vocabulary("word_bpe_49k.json"), queries.vocabulary("piece_bpe_32k.model")
+    rnd = random.Random(7)
+    texts = [(1, "".join(rnd.choices("abcdefgh", k=40_000))), (2, " ".join("".join(rnd.choices("etaoins", k=3)) for _ in range(300_000))), (3, "😀一" * 30_000), (4, " " * 50_000 + "x"), (5, "a" * 30_000)]
+    counted = by_id(token_counts.count_tokens(docs_of(spark, texts), json_path))
+    coded = by_id(piece_codec.code(docs_of(spark, texts), model_path))
+    library, pieces = Tokenizer.from_file(json_path), sentencepiece.SentencePieceProcessor(model_file=model_path)
+    for i, t in texts:
+        assert counted[i]["n_tokens"] == len(library.encode(t, add_special_tokens=False).ids)
+        ids = pieces.encode(t, add_bos=True, add_eos=True)
+        assert coded[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and coded[i]["decoded_sha256"] == hashlib.sha256(pieces.decode(ids).encode()).hexdigest()
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
@@ -358,7 +401,7 @@ def test_piece_codec(spark):
     path = queries.vocabulary("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = list(enumerate(odd_texts(2))) + [(9000 + i, t) for i, t in corpus(8)]
-    got = by_id(piece_codec.code(docs_of(spark, texts), path, keep=True))
+    got = by_id(piece_codec.code(docs_of(spark, texts), path, keep=("ids", "decoded")))
     for i, t in texts:
         ids = library.encode(t or "", add_bos=True, add_eos=True)
         r = got[i]
@@ -401,6 +444,47 @@ def test_licenses_in_long_lines(n_words):
     assert scanner.scan("All rights reserved. " * 40) == (1, scanner.scan("All rights reserved.")[1] * 40)
 
 
+class PlainScanner(licenses.Scanner):
+    """Looks for every template at every place."""
+
+    def places(self, words):
+        for k, wording in enumerate(self.words):
+            moved = sum(self.slack(k))
+            for begin in range(-moved, len(words)):
+                if begin + moved + len(wording) > 0:
+                    yield k, max(0, begin), min(len(words), begin + moved + len(wording))
+
+
+def test_licenses_in_random_blocks():
+    rnd = random.Random(12)
+    templates = tuple(t for t in licenses.TEMPLATES if len(licenses.license_words(t[1])) < 60)[:24]
+    fast, plain = licenses.Scanner(templates), PlainScanner(templates)
+    common_words = sorted(fast.vocabulary) + ["river", "copyright", "paper", "license"]
+    for _ in range(60):
+        lines = []
+        for _ in range(rnd.randint(1, 5)):
+            words = rnd.choice(templates)[1].split()
+            for _ in range(min(rnd.choice([0, 0, 1, 2, 4]), len(words) - 1)):
+                at = rnd.randrange(len(words))
+                words[at : at + rnd.randint(0, 1)] = [rnd.choice(common_words)] * rnd.randint(0, 1)
+            extra = " ".join(rnd.choices(common_words, k=rnd.choice([0, 0, 3, 12])))
+            lines.append(" ".join(rnd.sample([extra, " ".join(words)], 2)))
+        text = "\n".join(lines)
+        n, found = fast.scan(text)
+        m, want = plain.scan(text)
+        assert (n, sorted(f[0] for f in found)) == (m, sorted(f[0] for f in want)), text
+
+
+def test_licenses_in_long_blocks():
+    """Thousands of notices one after another, and ties: templates that save alike are told by length, then by place."""
+    scanner = licenses.Scanner()
+    n, found = scanner.scan("Released under the MIT License.\n" * 3000)
+    assert n == 1 and [f[0] for f in found] == ["MIT"] * 3000
+    tied = licenses.Scanner((("B", "released under the license of many words"), ("A", "released under the license of many words")))
+    assert [f[0] for f in tied.scan("Released under the license of many words")[1]] == ["B"]
+    assert scanner.scan("license " * 20_000)[1] == []
+
+
 def test_licenses_of_other_names():
     """Neighbours that differ by a telling word are not given the template's name."""
     scanner, wordings = licenses.Scanner(), dict(licenses.TEMPLATES[:19])
@@ -435,7 +519,10 @@ def test_licenses_of_all_names():
     assert names(gpl2 + " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.") == {"GPL-2.0"}
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("cell_rows, tile, pairs", [(16_384, 4096, 1 << 16), (5, 3, 7), (2, 64, 1 << 16)])
+def test_near_vectors(spark, monkeypatch, cell_rows, tile, pairs):
+    for name, value in (("CELL_ROWS", cell_rows), ("TILE", tile), ("PAIRS", pairs)):
+        monkeypatch.setattr(subspace_join, name, value)
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 24))
     vectors = [(i, v.astype(float).tolist(), i % 2) for i, v in enumerate(base)]
@@ -451,6 +538,23 @@ def test_near_vectors(spark):
     assert subspace_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_dense_groups_of_vectors(spark):
+    """Copies of one vector, some closer than others: rows that meet, not pairs, come out of the join."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(32)
+    vectors = [(i, (base + rng.standard_normal(32) * rng.choice([0.02, 0.1, 0.14])).tolist(), 0) for i in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    unit = np.array([v for _, v, _ in vectors])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = unit @ unit.T >= 0.98
+    got = by_id(subspace_join.near_vectors(df), "vec_id")
+    assert [got[i]["n_links"] for i in range(400)] == (near.sum(1) - 1).tolist()
+    least = plain_components(range(400), [tuple(p) for p in np.argwhere(np.triu(near, 1)).tolist()])
+    assert {i: r["component_id"] for i, r in got.items()} == least
+    heads = subspace_join.prepared(df).withColumn("size", F.lit(1).cast("long"))
+    assert subspace_join.joined(heads, 0.98).count() < near.sum() / 4
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == [200, Fraction(500, 3), Fraction(250, 3)]
     assert mixing.targets([0, 10], [5, 2]) == [0, 15]
@@ -478,7 +582,54 @@ def test_mix(spark):
     assert by_id(mixing.Mix(d.repartition(7), block_words=16).report()) == got
     made = by_id(mix.documents())
     assert {i: len(r["text"].split()) for i, r in made.items()} == {i: r["taken"] for i, r in got.items() if r["taken"]}
-    assert Counter(r["src"] for r in rows(mix.slots())) == dict(enumerate(mix.counts.sum(axis=1).tolist()))
+    slots = rows(mix.slots())
+    assert Counter(r["src"] for r in slots) == dict(enumerate(mix.quotas))
+    for src, quota in enumerate(mix.quotas):
+        assert Counter(r["shard"] for r in slots if r["src"] == src) == Counter(dict(enumerate(mixing.shard_counts(quota, mix.shards, 0, src).tolist())))
+
+
+def plain_permuted(i, n, key):
+    """The permutation one index at a time, in whole numbers."""
+    bits = max(2, (max(n, 2)).bit_length())
+    half = (bits + 1) // 2
+    while True:
+        left, right = i >> half, i & ((1 << half) - 1)
+        for step in range(6):
+            z = right ^ (key + step * 0x9E3779B97F4A7C15) % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            left, right = right, left ^ ((z ^ z >> 31) & ((1 << half) - 1))
+        i = left << half | right
+        if i < n:
+            return i
+
+
+def test_mix_word_by_word(spark, monkeypatch):
+    """What each row gives, from the rows' order, slots and permutations, one word at a time."""
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rnd = random.Random(6)
+    texts = [(i, " \n".join(f"w{i}x{j}" for j in range(rnd.choice([0, 1, 5, 40, 300])))) for i in range(60)] + [(60, None), (60, None), (61, "a b c"), (61, "a b c"), (None, "d e"), (None, "d e"), (None, None)]
+    sources = {i: rnd.choice("abc") if i % 9 else None for i, _ in texts if i is not None} | {None: "b"}
+    d = docs_of(spark, texts, sources).withColumn("source", F.when(F.col("doc_id").isNull(), "b").otherwise(F.col("source")))
+    mix = mixing.Mix(d, block_words=16, seed=3)
+    got = Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in rows(mix.report()))
+    order = {(r["id0"], r["th"]): r["b"] for r in mix.sized.select("id0", "th", F.pmod(F.xxhash64("id0", "th"), F.lit(max(64, len(texts) // 4000))).alias("b")).collect()}
+    names = {r["src"]: r["source"] for r in mix.sources.collect()}
+    want = Counter()
+    for src, name in names.items():
+        mine = [r for r in mix.sized.collect() if r["source"] == name]
+        mine.sort(key=lambda r: (order[r["id0"], r["th"]], r["id0"], r["size"], r["th"] is not None, r["th"] or 0, r["k"]))
+        words = [n for n, r in enumerate(mine) for _ in range(r["size"])]
+        blocks = -(-len(words) // 16)
+        taken = Counter()
+        for slot in range(mix.quotas[src]):
+            at = plain_permuted(slot % blocks, blocks, ((src << 32) + slot // blocks + 3 * 0xD6E8FEB86659FD93) % 2**64)
+            taken.update(words[16 * at : 16 * at + 16])
+        want.update((r["doc_id"], name, r["size"], taken[n]) for n, r in enumerate(mine))
+        assert abs(sum(taken.values()) - mix.targets[src]) <= 32
+    assert got == want
+    made = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in rows(mix.documents()))
+    assert made == Counter({(i, s, n): c for (i, s, _, n), c in want.items() if n})
 
 
 def test_pipeline_stages(spark, tmp_path):
