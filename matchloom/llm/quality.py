@@ -16,6 +16,8 @@ STOP_WORDS = (
 )
 
 #: The rules: measure, lowest and highest value allowed (None: no bound). Limits that hold bounds themselves pass.
+#: Repeated lines: of the labelled documents of sf0.1 that pass the base rule, a limit of 0.30 would reject 10 of 3,243
+#: good ones and 1 of 291 bad ones; from 0.35 on it rejects none of either.
 RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("n_words", 50, None),
     ("mean_word_chars", 2.0, 14.0),
