@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scores import idf
 from ..sources.shared import written
 
 #: Rank of a pair that a pass has not found.
@@ -45,7 +46,7 @@ def token_pass(queries: DataFrame, pool: DataFrame, k: int = 12, max_df: int = 3
     size = pool.groupBy(block).agg(F.count("*").alias("n"))
     kept = p.groupBy(block, "token").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
     asked = q.groupBy(block, "token").agg(F.ceil(F.count("*") / TOKEN_QUERIES).cast("int").alias("parts"))
-    weight = kept.join(size, block).join(asked, [block, "token"], "left").select(block, "token", F.log1p(F.col("n") / F.col("df")).alias("w"), F.coalesce("parts", F.lit(1)).alias("parts"))
+    weight = kept.join(size, block).join(asked, [block, "token"], "left").select(block, "token", idf(F.col("n"), F.col("df")).alias("w"), F.coalesce("parts", F.lit(1)).alias("parts"))
     weight = written(weight, "weights")
     p, q = written(p.join(weight, [block, "token"]), "pool-tokens"), written(q.join(weight, [block, "token"]), "query-tokens")
     norm = lambda df, i: df.groupBy(block, i).agg((F.sqrt(F.sum(F.col("w") * F.col("w"))) + 1e-6).alias(f"norm_{i}"))

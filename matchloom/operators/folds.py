@@ -34,6 +34,11 @@ def halves(df: DataFrame, key: str = "s1_id") -> tuple[DataFrame, DataFrame]:
     return df.where(fold(F.col(key), 10) == 0), df.where(fold(F.col(key), 10) == 5)
 
 
+def leave_out(df: DataFrame, value: str, key: str = "country") -> tuple[DataFrame, DataFrame]:
+    """Rows of all other values of the key, and rows of this one; rows without a value are in neither."""
+    return df.where(F.col(key) != value), df.where(F.col(key) == value)
+
+
 def training_pairs(gold: DataFrame, rounds: int = 3, seed: int = 42) -> DataFrame:
     """Up to `rounds` gold pairs of each record outside the validation fold, in hash order."""
     order = W.partitionBy("s1_id").orderBy(hashed(F.concat_ws("|", "s1_id", "pool_id"), seed), "pool_id")

@@ -11,11 +11,9 @@ MATCHING, CANDIDATES = ["source1_entity_id", "matched_entity_ids"], ["source1_en
 SHOWN = 5
 
 
-def examples(items) -> str:
-    """The first five, sorted, and how many there are in all."""
-    items = sorted(items)
-    shown = ", ".join(items[:SHOWN])
-    return f"{len(items)} total, e.g. {shown}, ..." if len(items) > SHOWN else shown
+def examples(n: int, shown: str) -> str:
+    """What is shown of n items, the first SHOWN in order, and how many there are if these are not all."""
+    return f"{n} total, e.g. {shown}, ..." if n > SHOWN else shown
 
 
 def header_fault(line: str | None, expected: list[str]) -> str | None:
@@ -92,8 +90,9 @@ def validate(spark: SparkSession, matching: str, required: DataFrame, candidate:
         errors += [f"{name}: {f}" for f in faults]
         if lists is not None:
             tables[name] = lists.select("s1_id", F.explode("ids").alias("pool_id"))
-            errors += [f"{name}: {r['kind']} ({r['n']}): {r['examples']}" for r in findings(lists, required, targets).orderBy("kind").collect()]
+            errors += [f"{name}: {r['kind']} ({r['n']}): {examples(r['n'], r['examples'])}" for r in findings(lists, required, targets).orderBy("kind").collect()]
     if len(tables) == 2:
-        n = outside_candidates(tables["matching"], tables["candidates"]).count()
-        warnings += [f"{n} matches are not among the candidates"] if n else []
+        outside = outside_candidates(tables["matching"], tables["candidates"]).select("s1_id").distinct()
+        n, first = outside.count(), ", ".join(r["s1_id"] for r in outside.orderBy("s1_id").limit(SHOWN).collect())
+        warnings += [f"{n} records have matches that are not among their candidates: {examples(n, first)}"] if n else []
     return errors, warnings

@@ -14,8 +14,8 @@ from ..functions import scores as sc
 from ..functions import similarity as sm
 from ..functions import text as tx
 from ..operators import blends, blocking, context, decide, features, folds, learn, metrics, validate
-from ..sources import sinks
-from ..sources.shared import written
+from ..sources import sinks, tables
+from ..sources.shared import shared_dir, written
 from . import reports
 from . import text_sql as ts
 
@@ -640,3 +640,172 @@ def gbt_oof(spark, d):
 def quarter_stack(spark, d):
     p = context.score_context(pairs_of(spark, d), "prob", "ctx")
     return learn.quarter_stack(p, ["prob", "ce_prob", "ctx_gap"], maxIter=2, maxDepth=2).select("s1_id", "pool_id", F.round("stack_prob", 6).alias("stack_prob"))
+
+
+# --- more of texts, samples, sweeps and files
+
+
+_LIST = lambda c: f"coalesce(array_to_string(list_sort(list_distinct({c})), ' '), '')"
+_LEGAL = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.LEGAL_FORMS.items()) + "}"
+_MARKED = lambda c, p: f"list_transform({ts.words(c)}, lambda x: '{p}' || x)"
+
+
+@query(
+    rf"""WITH {_VIEWS}, x AS (SELECT views.*, business_address, {ts.words('name_core')} AS core, {ts.words('business_address')} AS aw FROM views JOIN heads USING (doc_id))
+SELECT doc_id, CASE WHEN len(core) >= 2 THEN array_to_string(list_transform(core, lambda x: substr(x, 1, 1)), '') ELSE '' END AS acronym, coalesce(array_to_string({_MARKED('name_skel', 'n:')}, ' '), '') AS prefixed,
+regexp_extract(addr_clean, '(?:^| )(\d+)(?: |$)', 1) AS first_number, coalesce(array_to_string(aw[greatest(len(aw) - 1, 1):], ' '), '') AS last_two, regexp_replace(addr_clean, '\d+', ' ', 'g') AS no_digits, 'query: ' || name_clean || ' | ' || addr_clean AS record_text,
+{_LIST(f"list_concat({_MARKED('name_skel', 'n:')}, {_MARKED('name_alt_skel', 'n:')}, CASE WHEN len(name_ns) >= 6 THEN ['s:' || name_ns] ELSE [] END, {_MARKED('addr_clean', 'a:')})")} AS token_docs,
+{_LIST(f"list_filter(list_transform({ts.words('name_clean')}, lambda x: {_LEGAL}[x]), lambda x: x IS NOT NULL)")} AS legal_forms FROM x"""
+)
+def text_parts(spark, d):
+    h = tx.address_views(tx.name_views(heads(spark, d)))
+    in_order = lambda c: F.array_join(F.array_sort(c), " ")
+    c = F.col
+    return h.select(
+        "doc_id", tx.acronym(c("name_core")).alias("acronym"), tx.prefixed(c("name_skel"), "n:").alias("prefixed"), tx.first_number(c("addr_clean")).alias("first_number"), tx.last_two(c("business_address")).alias("last_two"),
+        tx.without_digits(c("addr_clean")).alias("no_digits"), tx.record_text(c("name_clean"), c("addr_clean")).alias("record_text"), in_order(tx.token_docs(h)).alias("token_docs"), in_order(tx.legal_forms(c("name_clean"))).alias("legal_forms"),
+    )
+
+
+@query(
+    """WITH r AS (SELECT p_partkey AS i, 'S' || (2 + p_partkey % 2) || '-' || p_partkey AS id, p_name AS n, CASE WHEN p_size > 40 THEN '' ELSE p_brand END AS a FROM part)
+SELECT x.id AS s1_id, y.id AS pool_id, x.n || ' | ' || x.a AS text_a, coalesce(y.n, '') || ' | ' || coalesce(y.a, '') AS text_b, 'S' || (2 + y.i % 2) AS source_b FROM r x JOIN r y ON x.i % 3 = 0 AND y.i = x.i + 1"""
+)
+def pair_texts(spark, d):
+    r, pairs = _keyed_parts(spark, d)
+    return tx.pair_texts(pairs, r, r).select("s1_id", "pool_id", "text_a", "text_b", tx.source_of(F.col("pool_id")).alias("source_b"))
+
+
+def _keyed_parts(spark, d):
+    """Parts under ids with a source, those of a size over 40 without an address; each third one paired with the next."""
+    c = F.col("p_partkey")
+    name = lambda k: F.concat(F.lit("S"), (2 + k % 2).cast("string"), F.lit("-"), k.cast("string"))
+    p = table(spark, d, "part")
+    r = p.select(name(c).alias("entity_id"), F.col("p_name").alias("business_name"), F.when(F.col("p_size") > 40, "").otherwise(F.col("p_brand")).alias("business_address"))
+    last = p.agg(F.max("p_partkey").alias("last"))
+    pairs = p.where(c % 3 == 0).join(last, c < F.col("last")).select(name(c).alias("s1_id"), name(c + 1).alias("pool_id"))
+    return r, pairs
+
+
+@query(
+    """WITH r AS (SELECT p_partkey AS i, 'S' || (2 + p_partkey % 2) || '-' || p_partkey AS id, len(p_name) AS n, len(CASE WHEN p_size > 40 THEN '' ELSE p_brand END) AS a FROM part)
+SELECT x.id AS s1_id, y.id AS pool_id, CAST(x.n AS DOUBLE) AS len_name_a, CAST(x.a AS DOUBLE) AS len_addr_a, CAST(y.n AS DOUBLE) AS len_name_b, CAST(y.a AS DOUBLE) AS len_addr_b, CAST(y.a = 0 AS DOUBLE) AS b_empty_addr, CAST(y.i % 2 AS DOUBLE) AS b_source FROM r x JOIN r y ON x.i % 3 = 0 AND y.i = x.i + 1"""
+)
+def record_features(spark, d):
+    r, pairs = _keyed_parts(spark, d)
+    r = r.withColumnsRenamed({"business_name": "name_clean", "business_address": "addr_clean"})
+    return blends.record_features(pairs, r, r).select("s1_id", "pool_id", "len_name_a", "len_addr_a", "len_name_b", "len_addr_b", "b_empty_addr", "b_source")
+
+
+_ORDER_CRC = f"keys AS (SELECT o_orderkey AS k FROM orders), {ts.crc32('keys')}"
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {_ORDER_CRC}, g AS (SELECT s1_id, pool_id, row_number() OVER (PARTITION BY s1_id ORDER BY md5('42:' || s1_id || '|' || pool_id), pool_id) AS round FROM pairs JOIN crc ON k = s1_id WHERE label = 1 AND v % 5 <> 0) SELECT * FROM g WHERE round <= 3")
+def training_pairs(spark, d):
+    return folds.training_pairs(gold_of(pairs_of(spark, d))).select("s1_id", "pool_id", "round")
+
+
+@query(f"WITH {PAIRS} SELECT s1_id, pool_id, label FROM pairs WHERE label = 1 OR prob >= 0.3 OR CAST('0x' || substr(md5('42:' || s1_id || '|' || pool_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.1")
+def hard_pairs(spark, d):
+    return folds.hard_pairs(pairs_of(spark, d), floor=0.3).select("s1_id", "pool_id", "label")
+
+
+@query(f"WITH RECURSIVE {_ORDER_CRC} SELECT o_orderkey AS s1_id, CAST(v % 10 AS INT) AS half FROM orders JOIN crc ON k = o_orderkey WHERE v % 10 IN (0, 5)")
+def fold_halves(spark, d):
+    a, b = folds.halves(table(spark, d, "orders").select(F.col("o_orderkey").alias("s1_id")))
+    return a.withColumn("half", F.lit(0)).union(b.withColumn("half", F.lit(5)))
+
+
+@query(f"WITH {DIM} SELECT s1_id, country = 'NATION_3' AS held_out FROM dim")
+def country_split(spark, d):
+    train, test = folds.leave_out(dimension_of(spark, d), "NATION_3")
+    return train.select("s1_id", F.lit(False).alias("held_out")).union(test.select("s1_id", F.lit(True)))
+
+
+@query(f"WITH {PAIRS} SELECT s1_id, pool_id FROM pairs WHERE label = 1 AND s1_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND pool_id IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def resolved_pairs(spark, d):
+    s1 = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("entity_id"))
+    pool = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("entity_id"))
+    return tables.resolved(gold_of(pairs_of(spark, d)), s1, pool)
+
+
+@query(f"WITH {PAIRS} SELECT s1_id, pool_id FROM pairs WHERE {_FILL} BETWEEN 0.4 AND 0.6")
+def contested_pairs(spark, d):
+    return pairs_of(spark, d).where(blends.contested("prob", "ce_prob", 0.4, 0.6)).select("s1_id", "pool_id")
+
+
+@query(f"WITH {PAIRS}, {DIM} SELECT round(avg(CAST(country = 'NATION_' || pool_id % 25 AS INT)), 6) AS same_country, count(*) AS n FROM pairs JOIN dim USING (s1_id) WHERE label = 1")
+def same_country(spark, d):
+    pool = table(spark, d, "part").select(F.col("p_partkey").alias("pool_id"), F.concat(F.lit("NATION_"), (F.col("p_partkey") % 25).cast("string")).alias("country"))
+    return reports.same_country(gold_of(pairs_of(spark, d)), dimension_of(spark, d), pool).select(*R6("same_country"), "n")
+
+
+@query("SELECT p_type, count(*) AS n_rows, count(DISTINCT p_name) AS n_p_name, count(DISTINCT p_brand) AS n_p_brand FROM part GROUP BY p_type")
+def distinct_counts(spark, d):
+    return reports.distinct_counts(table(spark, d, "part"), ["p_name", "p_brand"], "p_type")
+
+
+@query(f"WITH {KINDS} SELECT s1_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42:' || s1_id), s1_id) AS r FROM kinds WHERE kind IN ('all_wrong', 'extra_fp')) WHERE r <= 8")
+def error_examples(spark, d):
+    kinds = kinds_of(spark, d)
+    return reports.error_examples(kinds, "all_wrong").union(reports.error_examples(kinds, "extra_fp")).select("s1_id", "kind")
+
+
+_MACRO = lambda said, key: f"""golds AS (SELECT dim.s1_id, coalesce(sum(label), 0) AS ng FROM dim LEFT JOIN pairs USING (s1_id) GROUP BY ALL),
+hits AS (SELECT {key}, s1_id, count(*) AS np, sum(label) AS tp FROM {said} GROUP BY ALL), every AS (SELECT {key}, s1_id, ng FROM (SELECT DISTINCT {key} FROM all_keys) CROSS JOIN golds)
+SELECT {key}, round(avg({F05}), 6) AS macro_f05 FROM (SELECT every.{key}, ng, coalesce(np, 0) AS np, coalesce(tp, 0) AS tp FROM every LEFT JOIN hits ON hits.s1_id = every.s1_id AND hits.{key} = every.{key}) GROUP BY {key}"""
+
+
+@query(
+    f"""WITH RECURSIVE {PAIRS}, {DIM}, {O2O}, {EXPF}, {_EXACT}, all_keys AS (SELECT unnest(['expf', 'exact']) AS rule),
+said AS (SELECT 'expf' AS rule, s1_id, label FROM pred UNION ALL SELECT 'exact', s1_id, label FROM ranked JOIN chosen USING (s1_id) JOIN pairs USING (s1_id, pool_id) WHERE k <= n), {_MACRO('said', 'rule')}"""
+)
+def rules_compared(spark, d):
+    p = pairs_of(spark, d)
+    return reports.rules_compared(p, gold_of(p), dimension_of(spark, d)).select("rule", *R6("macro_f05"))
+
+
+@query(
+    f"""WITH {PAIRS}, {DIM}, {O2O}, {EXPF}, all_keys AS (SELECT unnest([1.01, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05])::DOUBLE AS t), top AS (SELECT *, max(prob) OVER (PARTITION BY pool_id) AS b FROM pairs),
+said AS (SELECT t, s1_id, pool_id, label FROM pred, all_keys UNION SELECT t, s1_id, pool_id, label FROM top, all_keys WHERE prob >= t AND prob = b AND pool_id % 3 = 0 AND pool_id NOT IN (SELECT pool_id FROM pred)), {_MACRO('said', 't')}"""
+)
+def assignment_sweep(spark, d):
+    p, pred, dim = decided(spark, d)
+    marked = p.withColumn("empty_addr", F.col("pool_id") % 3 == 0)
+    return reports.assignment_sweep(marked, pred, gold_of(p), dim).select("t", *R6("macro_f05"))
+
+
+@query(
+    f"""WITH {PAIRS}, {DIM}, all_keys AS (SELECT unnest([-2.0, -1.5, -1.0, -0.5, 0.0, 0.5])::DOUBLE AS shift),
+moved AS (SELECT shift, s1_id, pool_id, label, CASE WHEN country = 'NATION_3' THEN {SIG(LOGIT('prob') + ' + shift')} ELSE prob END AS prob FROM pairs LEFT JOIN dim USING (s1_id) CROSS JOIN all_keys),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shift, pool_id ORDER BY prob DESC, s1_id) AS r FROM moved) WHERE r = 1),
+px AS (SELECT shift, s1_id, label, row_number() OVER o AS k, 1.25 * sum(prob) OVER (o ROWS UNBOUNDED PRECEDING) / (0.25 * sum(prob) OVER g + row_number() OVER o) AS e, product(1 - prob) OVER g AS none FROM best WINDOW o AS (PARTITION BY shift, s1_id ORDER BY prob DESC, pool_id), g AS (PARTITION BY shift, s1_id)),
+bx AS (SELECT *, max(e) OVER (PARTITION BY shift, s1_id) AS top FROM px), kx AS (SELECT *, min(CASE WHEN e = top THEN k END) OVER (PARTITION BY shift, s1_id) AS kk FROM bx),
+said AS (SELECT shift, s1_id, label FROM kx WHERE top > 1.5 * none AND k <= kk), {_MACRO('said', 'shift')}"""
+)
+def shift_sweep(spark, d):
+    p = pairs_of(spark, d)
+    return reports.shift_sweep(p, gold_of(p), dimension_of(spark, d), "NATION_3").select("shift", *R6("macro_f05"))
+
+
+@query(
+    r"""WITH t AS (SELECT DISTINCT doc_id, lang, CAST(substr(source, 4) AS INT) % 3 AS side, unnest(string_split(trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g')), ' ')) AS tok FROM documents),
+q AS (SELECT doc_id, CASE WHEN lang = 'de' THEN '*' ELSE lang END AS lang, tok FROM t WHERE side = 0), p AS (SELECT doc_id, lang, tok FROM t WHERE side <> 0 AND lang <> 'de' UNION ALL SELECT doc_id, '*', tok FROM t WHERE side <> 0 AND lang <> 'de'),
+n AS (SELECT lang, count(DISTINCT doc_id) AS n FROM p GROUP BY ALL), w AS (SELECT lang, tok, ln(1 + max(n) / count(*)) AS w FROM p JOIN n USING (lang) GROUP BY lang, tok HAVING count(*) <= 3000),
+x AS (SELECT * FROM q JOIN w USING (lang, tok)), y AS (SELECT * FROM p JOIN w USING (lang, tok)), nx AS (SELECT doc_id, sqrt(sum(w * w)) + 1e-6 AS norm FROM x GROUP BY ALL), ny AS (SELECT lang, doc_id, sqrt(sum(w * w)) + 1e-6 AS norm FROM y GROUP BY ALL),
+s AS (SELECT x.doc_id AS s1_id, y.doc_id AS pool_id, x.lang, sum(x.w * x.w) AS dot FROM x JOIN y USING (lang, tok) GROUP BY ALL), c AS (SELECT s1_id, pool_id, dot / (nx.norm * ny.norm) AS score FROM s JOIN nx ON nx.doc_id = s1_id JOIN ny ON ny.doc_id = pool_id AND ny.lang = s.lang)
+SELECT s1_id, pool_id, round(score, 6) AS tok_score, tok_rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, pool_id) AS tok_rank FROM c) WHERE tok_rank <= 12"""
+)
+def whole_pool_block(spark, d):
+    q, p = text_sides(spark, d)
+    return blocking.token_pass(q, p.where("country <> 'de'")).select("s1_id", "pool_id", *R6("tok_score"), "tok_rank")
+
+
+@query(f"WITH {PAIRS}, {O2O}, {EXPF} SELECT pred.s1_id, pred.pool_id FROM pred JOIN pairs USING (s1_id, pool_id) WHERE pairs.prob >= 0.2 OR pairs.ce_prob > 0.8")
+def answer_files(spark, d):
+    """An answer written as files and read back: matches stay within candidates and further candidates."""
+    p, pred, dim = decided(spark, d)
+    at = shared_dir(spark, "answer")
+    sinks.write_answer(pred, p.where("prob >= 0.2"), dim.withColumn("seq", F.col("s1_id")), at, extra=p.where("ce_prob > 0.8"))
+    pairs, _ = tables.load_gold(spark, f"{at}/matching_results.tsv")
+    return pairs.select(F.col("s1_id").cast("long").alias("s1_id"), F.col("pool_id").cast("long").alias("pool_id"))

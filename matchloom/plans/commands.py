@@ -8,7 +8,11 @@ Every command is a function of a session and a configuration that returns what i
 from __future__ import annotations
 
 import argparse
+import glob
 import json
+import os
+import shutil
+import zipfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -273,6 +277,24 @@ def stack_submit(
     return told
 
 
+def proxy_eval(spark: SparkSession, cfg: Config, pairs: DataFrame, scores: dict[str, DataFrame], seen: str, unseen: str, drops=((), ("meta",), ("country",)), shifts=(-2.0, -1.5, -1.0, -0.5, 0.0, 0.5), alpha: float = 1.5, **settings) -> list[dict]:
+    """A stand-in for an unseen country: stackers fitted on one country's fold 0 score another's, for each set of
+    features left out, with that country's scores shifted."""
+    gold, everyone = tables.load_gold(spark, f"{cfg.data_dir}/train/train_ground_truth.tsv")
+    dim = everyone.where(fold(F.col("s1_id"), 5) == 0).join(_of_country(spark, cfg), "s1_id").where(F.col("country").isin(seen, unseen))
+    home, away = folds.leave_out(dim, unseen)
+    table, columns = stacker_table(spark, cfg, _within(pairs, dim), pairs.drop("label"), "train", scores, missing="lgbm", meta=True)
+    out = []
+    for drop in drops:
+        left = [c for c in columns if not any(c in features.GROUPS[g] or c in ("b_source",) * (g == "meta") for g in drop)]
+        model = learn.fit_and_refit(_within(table, home), left, **settings)
+        scored = learn.predict(model, _within(table, away), left).select(*KEYS, "prob")
+        for d in shifts:
+            moved = scored.withColumn("prob", blends.shifted(F.col("prob"), d))
+            out.append({"drop": list(drop), "features": len(left), "shift": d, "macro_f05": _macro(moved, gold, away, decide.Params("expf", alpha=alpha))})
+    return out
+
+
 # --- reports
 
 
@@ -283,6 +305,7 @@ def eda(spark: SparkSession, cfg: Config, split: str = "train") -> dict:
     if split == "train":
         gold, everyone = tables.load_gold(spark, f"{cfg.data_dir}/train/train_ground_truth.tsv")
         out["matches"] = {r["n_match"]: r["n_s1"] for r in reports.match_counts(gold, everyone).collect()}
+        out["distinct"] = reports.distinct_counts(s1.unionByName(pool), ["entity_id", "business_name", "country"]).first().asDict()
         out["violations"] = reports.one_to_one_violations(gold).first()["violations"]
         out |= reports.same_country(gold, s1.select(F.col("entity_id").alias("s1_id"), "country"), pool.select(F.col("entity_id").alias("pool_id"), "country")).first().asDict()
     return out
@@ -327,6 +350,23 @@ def error_analysis(spark: SparkSession, cfg: Config, pairs: DataFrame, examples:
     return {"losses": losses, "pairs": metrics.error_accounting(kinds).first().asDict(), "examples": [r.asDict() for r in reduce(DataFrame.unionByName, shown).collect()] if shown else []}
 
 
+def package(files: dict[str, str], path: str) -> int:
+    """A ZIP file of local files by their names in it; nothing is written if one of them is missing."""
+    missing = [f for f in files.values() if not os.path.exists(f)]
+    if missing:
+        raise FileNotFoundError(f"missing: {', '.join(sorted(missing))}")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as out:
+        for name, source in files.items():
+            parts = sorted(glob.glob(f"{source}/part-*")) if os.path.isdir(source) else [source]
+            with out.open(name, "w") as member:
+                for k, part in enumerate(parts):
+                    with open(part, "rb") as file:
+                        if k:  # parts of a table have a header each
+                            file.readline()
+                        shutil.copyfileobj(file, member)
+    return len(files)
+
+
 # --- the command line
 
 
@@ -354,6 +394,8 @@ def main(argv: list[str] | None = None) -> int:
         "stack-submit", pairs=needed, lgbm_test=needed, ce=needed, extra=many, out=needed, alpha={**number, "default": 1.5}, features={"choices": ["pool", "meta"], "default": "pool"}, raw=flag, fill=many,
         ce_fill={"choices": ["zero", "lgbm"], "default": "zero"}, swap={"default": ""}, unseen_prob={"default": ""}, unseen_mix={"default": ""}, shift={"default": ""}, s1_from={"default": ""}, settings={"default": "{}"},
     )
+    command("proxy-eval", pairs=needed, ce=needed, extra=many, seen=needed, unseen=needed, settings={"default": "{}"})
+    command("package", team=needed, answer=needed, out_dir={"default": "."}, file=many)
     command("eda", split={"default": "train"})
     command("blocking-eval")
     command("decision-eval", pairs=needed, shift_country={})
@@ -396,6 +438,11 @@ def main(argv: list[str] | None = None) -> int:
             unseen_prob=spark.read.parquet(args.unseen_prob) if args.unseen_prob else None, s1_from=spark.read.parquet(args.s1_from).select("s1_id") if args.s1_from else None,
         )
         print(stack_submit(spark, cfg, tables.read_pairs(spark, args.pairs), tables.read_pairs(spark, args.lgbm_test).drop("label"), scores("oof_fold0"), scores("test"), args.out, **given, **settings))
+    elif args.command == "proxy-eval":
+        print(proxy_eval(spark, cfg, tables.read_pairs(spark, args.pairs), scores("oof_fold0"), args.seen, args.unseen, **settings))
+    elif args.command == "package":
+        answers = {f"output/{n}": f"{args.answer}/{n}" for n in ("matching_results.tsv", "candidate_pairs.tsv")}
+        print(package(answers | {os.path.basename(f): f for f in args.file}, f"{args.out_dir}/{args.team}_submission.zip"))
     elif args.command == "eda":
         print(eda(spark, cfg, args.split))
     elif args.command == "blocking-eval":

@@ -26,6 +26,11 @@ def profile(records: DataFrame) -> DataFrame:
     return records.groupBy("source", "country").agg(F.count("*").alias("n"), share(F.col("business_address") == "").alias("empty_address"), share(has_non_latin(F.col("business_name"))).alias("non_latin"))
 
 
+def distinct_counts(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """How many different values each column has, in all or for each value of a key; rows too."""
+    return df.groupBy(*([by] if by else [])).agg(F.count("*").alias("n_rows"), *[F.count_distinct(c).alias(f"n_{c}") for c in columns])
+
+
 def same_country(gold: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
     pairs = gold.join(s1.select("s1_id", F.col("country").alias("a")), "s1_id").join(pool.select("pool_id", F.col("country").alias("b")), "pool_id")
     return pairs.agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("same_country"), F.count("*").alias("n"))

@@ -205,6 +205,8 @@ def test_stacker_commands(spark, ran, scored):
     scores = {"ce": tables.load_scores(spark, str(scored), "test")}
     told = commands.stack_submit(spark, cfg, pairs, test, {"ce": ce}, scores, out, unseen_mix="ce:0.3,0.6", swap=("ce", scores["ce"]), unseen_prob=test.select("s1_id", "pool_id", F.lit(0.5).alias("prob")), maxIter=1, maxDepth=2, minInstancesPerNode=1)
     assert set(told) == {f"{out}_mix0.3", f"{out}_mix0.6"} and all(t["errors"] == [] for t in told.values())
+    told = commands.proxy_eval(spark, cfg, pairs, {"ce": ce}, "india", "us", ((), ("meta",)), (0.0, -1.0), maxIter=1, maxDepth=2, minInstancesPerNode=1)
+    assert [(t["drop"], t["shift"]) for t in told] == [([], 0.0), ([], -1.0), (["meta"], 0.0), (["meta"], -1.0)] and told[0]["features"] == told[2]["features"] + 5
 
 
 def test_reports(spark, ran, scored, capsys):
@@ -218,10 +220,27 @@ def test_reports(spark, ran, scored, capsys):
     assert set(told["rules"]) == {"expf", "exact"} and told["assigned"][1.01] <= 1 and 0.0 in told["shifted"]
     told = commands.error_analysis(spark, cfg, pairs, 2)
     assert all(r["kind"] != "ok" for r in told["losses"]) and {"tp", "fp", "fn", "precision", "recall"} <= set(told["pairs"])
-    assert commands.main(["diff", "--config", f"{root}/config.json", "--a", f"{root}/output/test/matching_results.tsv", "--b", f"{root}/output/test/matching_results.tsv"]) == 0
+    assert told and commands.main(["diff", "--config", f"{root}/config.json", "--a", f"{root}/output/test/matching_results.tsv", "--b", f"{root}/output/test/matching_results.tsv"]) == 0
     assert "us" in capsys.readouterr().out
 
 
+def test_package(spark, ran, tmp_path):
+    import zipfile
+
+    root, _, _, _ = ran
+    note = tmp_path / "note.md"
+    note.write_text("x")
+    given = ["package", "--team", "t", "--answer", f"{root}/output/test", "--out-dir", str(tmp_path), "--file", str(note)]
+    assert commands.main(given) == 0
+    with zipfile.ZipFile(tmp_path / "t_submission.zip") as z:
+        assert sorted(z.namelist()) == ["note.md", "output/candidate_pairs.tsv", "output/matching_results.tsv"]
+        lines = z.read("output/matching_results.tsv").decode().splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and len(lines) == 54
+    with pytest.raises(FileNotFoundError, match="none.md"):
+        commands.package({"a": "none.md"}, str(tmp_path / "u.zip"))
+    assert not (tmp_path / "u.zip").exists()
+
+
 def test_command_line(spark, ran):
     root, _, _, _ = ran
     assert pipeline.main(["--stage", "decide", "--split", "test", "--config", f"{root}/config.json"]) == 0

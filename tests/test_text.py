@@ -88,3 +88,65 @@ def test_set_statistics(spark):
     both = F.struct(sm.jaccard(a, b), sm.shared(a, b), sm.both_sides(a, b), sm.conflict(a, b))
     assert tuple(one(spark, both, a="a b c", b="b c d")) == (0.5, 2, 1, 0)
     assert tuple(one(spark, both, a="", b="a")) == (0.0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("text, plain", [("Магазин Жук", "Magazin Zhuk"), ("Ελλάδα", "Ellada"), ("شركة", "shrkh"), ("தமிழ்", "tamil"), ("తెలుగు", "telugu"), ("ಕನ್ನಡ", "kannadd"), ("Щука", "Shchuka"), ("Łódź", "Lodz")])
+def test_other_scripts(spark, text, plain):
+    assert spark.createDataFrame([(text,)], "t string").select(tx.to_ascii(F.col("t"))).first()[0] == plain
+
+
+def test_pair_texts(spark):
+    one = spark.createDataFrame([("S1-1", "A", "x 1"), ("S1-2", "B", "")], "entity_id string, business_name string, business_address string")
+    pairs = spark.createDataFrame([("S1-1", "S1-2"), ("S1-2", "S1-9")], "s1_id string, pool_id string")
+    got = {r["s1_id"]: (r["text_a"], r["text_b"]) for r in tx.pair_texts(pairs, one, one).collect()}
+    assert got == {"S1-1": ("A | x 1", "B | "), "S1-2": ("B | ", " | ")}
+
+
+def test_exact_choice_against_all_outcomes():
+    """The exact rule against the sum over all outcomes of the pairs."""
+    import itertools
+    import random
+
+    from matchloom.operators.decide import exact_choice
+
+    rnd = random.Random(1)
+    for _ in range(60):
+        p = sorted((rnd.random() for _ in range(rnd.randint(1, 7))), reverse=True)
+        alpha = rnd.choice([0.5, 1.0, 1.5, 3.0])
+        scores = [0.0] * (len(p) + 1)
+        for outcome in itertools.product((0, 1), repeat=len(p)):
+            chance = 1.0
+            for q, y in zip(p, outcome):
+                chance *= q if y else 1 - q
+            scores[0] += alpha * chance * (not any(outcome))
+            for k in range(1, len(p) + 1):
+                hits = sum(outcome[:k])
+                scores[k] += chance * (1.25 * hits / (0.25 * sum(outcome) + k) if hits else 0.0)
+        assert exact_choice(p, alpha) == max(range(len(scores)), key=lambda k: (round(scores[k], 12), -k))
+    assert exact_choice([], 1.5) == 0
+
+
+def test_fill_specs():
+    from matchloom.operators.blends import Fill
+
+    assert Fill.parse("xl=ce:0.2:0.8") == Fill("xl", "ce", 0.2, 0.8) and Fill.parse("a=b") == Fill("a", "b")
+    with pytest.raises(ValueError):
+        Fill.parse("a=b:0.1")
+
+
+def test_read_npy(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from matchloom.sources import vectors
+
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    x = np.random.default_rng(1).standard_normal((40, 5))
+    for kind in (np.float16, np.float32, np.float64):
+        np.save(tmp_path / "x.npy", x.astype(kind))
+        got = {r["row"]: r["embedding"] for r in vectors.read_npy(spark, str(tmp_path / "x.npy")).collect()}
+        assert np.array_equal(np.array([got[i] for i in range(40)], np.float32), x.astype(kind).astype(np.float32))
+    np.save(tmp_path / "y.npy", np.zeros((0, 3)))
+    assert vectors.read_npy(spark, str(tmp_path / "y.npy")).count() == 0
+    np.save(tmp_path / "z.npy", np.zeros(3))
+    with pytest.raises(ValueError, match="matrix"):
+        vectors.read_npy(spark, str(tmp_path / "z.npy"))
