@@ -15,7 +15,7 @@ from .common import word_list, written
 
 #: Words of a block; slots of an output shard on average at least; the most output shards, a parameter of the mix;
 #: sources that may be broadcast; slots that are filled at once.
-BLOCK_WORDS, SHARD_SLOTS, MOST_SHARDS, MOST_SOURCES, CHUNK = 64, 1024, 1024, 100_000, 250_000
+BLOCK_WORDS, SHARD_SLOTS, MOST_SHARDS, MOST_SOURCES, CHUNK = 64, 1024, 1024, 100_000, 50_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -83,9 +83,10 @@ class Mix:
         t = F.coalesce("text", F.lit(""))
         sized = docs.select("doc_id", "source", F.size(word_list(t)).cast("long").alias("size"), F.xxhash64("text").alias("th"))
         # Rows that agree in all are told apart by a count, so that joins stay one to one; those without words need none.
-        one = W.partitionBy("id0", "th", "source").orderBy("size")
-        sized = sized.withColumn("id0", F.coalesce("doc_id", F.lit(-(2**63))))
-        sized = sized.where("size > 0").withColumn("k", F.row_number().over(one)).union(sized.where("size = 0").withColumn("k", F.lit(0)))
+        # Those may be many, and stay apart as they were read.
+        sized = sized.withColumn("id0", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_apart", F.when(F.col("size") == 0, F.spark_partition_id()).otherwise(-1))
+        one = W.partitionBy("id0", "th", "source", "_apart").orderBy("size")
+        sized = sized.withColumn("k", F.when(F.col("size") > 0, F.row_number().over(one)).otherwise(0)).drop("_apart")
         self.sized = sized = written(sized, "sizes")
         rows = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
         rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -141,7 +142,8 @@ class Mix:
     def taken_pieces(self) -> DataFrame:
         """pieces() with times, how often the mix takes each; those that it never takes are left out."""
         times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"))
-        return self.pieces().join(times, ["src", "block"])
+        # The blocks come from a small table of sources, by whose size this join must not be planned.
+        return self.pieces().join(times.hint("merge"), ["src", "block"])
 
     def report(self) -> DataFrame:
         """doc_id, source, size, source_size, target, taken for every row."""
