@@ -7,10 +7,11 @@ another under one anchor make a region, which is one row however many windows it
 
 First pass: buckets of the first digit, known by 64-bit names, are counted; suffixes alone in theirs are done. Names
 only choose who goes on: two digits of one name would keep a suffix that could have gone. Second pass: the survivors'
-bytes are cut from the texts and go to their bucket; regions of equal bytes are one from here on. Last passes: in a bucket with
-several regions, windows are sorted by digits of eight bytes, from the most significant to the threshold; those alone
-in their bucket stop, and whoever shares a bucket after the last digit is a repeat of its first member. So every removal
-rests on bytes. Buckets of many rows are sorted in parts, and the first windows of each part meet by their bytes.
+bytes are cut from the texts and go to their bucket; regions of equal bytes are one from here on. Last passes: in a
+bucket with several regions, windows are sorted by digits of eight bytes, from the most significant to the threshold;
+those alone in their bucket stop, and whoever shares a bucket after the last digit is a repeat of its first member. So
+every removal rests on bytes (a text equal to an earlier one goes by its SHA-256). Buckets of many rows are sorted in
+parts, and the first windows of each part meet by their bytes.
 """
 
 from __future__ import annotations

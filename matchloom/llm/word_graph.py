@@ -1,9 +1,9 @@
 """Long repeated word passages by compaction of the De Bruijn graph of the corpus.
 
-The graph's nodes are runs of size - 1 words, its edges the windows of `size` words. Windows that start one after
-another and share an anchor, the ANCHOR-word run of least name, leftmost of equals, always occur together, so they travel as one edge from
-the first node to the last; both nodes and the length tell an edge's words. Equal windows have equal anchors at equal
-places. Edges:
+The graph's nodes are runs of size - 1 words, its edges the windows of `size` words. Of a window's runs of ANCHOR words
+the one of least name, the leftmost of equals, is its anchor; equal windows have equal anchors at equal places. Windows
+that start one after another and share an anchor travel as one edge from the first node to the last; both nodes and the
+length tell an edge's words. Edges:
 
 * that occur in several documents of a batch are replaced at once: what follows one another in both texts is one span;
 * that occur in documents of several batches meet under their anchor. Nodes with one such edge in and one out do not
