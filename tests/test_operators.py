@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +209,76 @@ def test_entry_points():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_pair_features_against_plain(spark):
+    """Every feature of a few pairs, from the views and the plain scorers."""
+    import math
+
+    from matchloom.functions import similarity as sm
+    from matchloom.functions import text as tx
+    from matchloom.operators import context, features
+
+    rows = [
+        ("S1-1", "Private Anand Foundation Ltd", "Flat No 243, Near SBI Bank, MG Road, Pune 411 001", 1),
+        ("S1-2", "Allsun Allen", "18730 Little Lane, Austin TX 78701", 1),
+        ("S2-1", "Anand Foundation Pvt Ltd (ID: 54473)", "Flat 243 nr SBI Bank MG Rd Pune", 2),
+        ("S2-2", "Yumabrixveo fka Allsun Allen LLC", "1873 Little Ln Austin", 2),
+        ("S3-1", "praaivett anand foundation limittedd", "", 3),
+    ]
+    records = tx.normalize(spark.createDataFrame([(*r, "x") for r in rows], "entity_id string, business_name string, business_address string, source int, country string"))
+    views = {r["entity_id"]: r.asDict() for r in records.collect()}
+    pairs = [(a, b, 0.1 * i, i + 1) for i, (a, b) in enumerate([("S1-1", "S2-1"), ("S1-1", "S3-1"), ("S1-2", "S2-2"), ("S1-2", "S2-1")])]
+    cands = context.global_context(spark.createDataFrame(pairs, "s1_id string, pool_id string, tok_score double, tok_rank int"))
+    got = {(r["s1_id"], r["pool_id"]): r.asDict() for r in features.pair_features(cands, records, records).collect()}
+    assert set(got) == {p[:2] for p in pairs}
+    words = lambda s: {w for w in s.split(" ") if w}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    for (i, j), r in got.items():
+        a, b = views[i], views[j]
+        fuzzy = {
+            "n_ratio": ("name_core", sm.ratio), "n_partial": ("name_core", sm.partial_ratio), "n_tsort": ("name_core", sm.token_sort_ratio), "n_tset": ("name_core", sm.token_set_ratio), "n_jw": ("name_core", sm.jaro_winkler), "n_clean_ratio": ("name_clean", sm.ratio),
+            "n_skel_ratio": ("name_skel", sm.ratio), "n_skel_tset": ("name_skel", sm.token_set_ratio), "n_ns_ratio": ("name_ns", sm.ratio), "n_ns_partial": ("name_ns", sm.partial_ratio), "a_ratio": ("addr_clean", sm.ratio), "a_partial": ("addr_clean", sm.partial_ratio),
+            "a_tset": ("addr_clean", sm.token_set_ratio), "a_tsort": ("addr_clean", sm.token_sort_ratio),
+        }
+        want = {n: score(a[v], b[v]) for n, (v, score) in fuzzy.items()}
+        for name, view in (("n_skel", "name_skel"), ("a", "addr_clean"), ("num", "nums"), ("lm", "landmarks")):
+            want |= {f"{name}_jac": jaccard(words(a[view]), words(b[view])), f"{name}_inter": len(words(a[view]) & words(b[view]))}
+        nums, post = (words(a["nums"]), words(b["nums"])), (words(a["postal"]), words(b["postal"]))
+        house = [next((w for w in x["addr_clean"].split() if w.isdigit()), "") for x in (a, b)]
+        want |= {
+            "n_exact": a["name_core"] == b["name_core"], "n_ns_eq": a["name_ns"] == b["name_ns"], "b_has_alt": b["name_alt"] != "", "n_alt_tset": sm.token_set_ratio(a["name_core"], b["name_alt"]) if b["name_alt"] else -1.0, "b_addr_empty": b["addr_clean"] == "",
+            "num_both": all(map(bool, nums)), "num_conflict": all(map(bool, nums)) and not nums[0] & nums[1], "pc_jac": jaccard(*post), "pc_both": all(map(bool, post)), "house_eq": house[0] == house[1] if all(house) else -1, "source": b["source"],
+            "len_name_a": len(a["name_core"]), "len_name_b": len(b["name_core"]), "len_addr_a": len(a["addr_clean"]), "len_addr_b": len(b["addr_clean"]), "name_addr": 0.6 * want["n_tset"] + 0.4 * want["a_tset"],
+            "n_extra_b": len(words(b["name_skel"]) - words(a["name_skel"])), "n_extra_a": len(words(a["name_skel"]) - words(b["name_skel"])), "house_absdiff": math.log1p(abs(int(house[0][:9]) - int(house[1][:9]))) if all(house) else -1.0,
+            "house_prefix": house[0] != house[1] and (house[0].startswith(house[1]) or house[1].startswith(house[0])) if all(house) else -1, "house_samelen": len(house[0]) == len(house[1]) if all(house) else -1,
+        }
+        assert {n: round(float(r[n]), 9) for n in want} == {n: round(float(v), 9) for n, v in want.items()}, (i, j)
+    for score in ("name_addr", "n_tset", "a_tset", "n_skel_ratio", "tok_score"):
+        for i in ("S1-1", "S1-2"):
+            mine = [r for (a, _), r in got.items() if a == i]
+            best = max(r[score] for r in mine)
+            assert all(r[f"s1_gap_{score}"] == best - r[score] and r[f"s1_rank_{score}"] == 1 + sum(o[score] > r[score] for o in mine) for r in mine)
+
+
+def test_scored_rows_teach_nothing(spark):
+    """Out-of-fold and quarter scores of a fold do not change with that fold's own labels."""
+    import zlib
+
+    from matchloom.operators import learn
+
+    rnd = random.Random(3)
+    rows = [(f"S1-{i}", f"S2-{j}", rnd.random(), rnd.random()) for i in range(60) for j in range(4)]
+    rows = [(*r, int(r[2] + 0.3 * r[3] > 0.7)) for r in rows]
+    df = spark.createDataFrame(rows, "s1_id string, pool_id string, x double, y double, label int")
+    small = {"maxIter": 2, "maxDepth": 2, "minInstancesPerNode": 1}
+
+    def scores(done, name):
+        return {(r["s1_id"], r["pool_id"]): r[name] for r in done.collect()}
+
+    for n, fold_, score in ((2, 1, lambda d: scores(learn.out_of_fold(d, ["x", "y"], 2, early_stopping=False, **small)[0], "prob")), (20, 0, lambda d: scores(learn.quarter_stack(d, ["x", "y"], **small), "stack_prob"))):
+        mine = {r[0] for r in rows if zlib.crc32(r[0].encode()) % n == fold_}
+        turned = df.withColumn("label", F.when(F.col("s1_id").isin(*mine), 1 - F.col("label")).otherwise(F.col("label")))
+        one, two = score(df), score(turned)
+        assert one.keys() == two.keys() and mine & {k[0] for k in one}
+        assert all(one[k] == two[k] for k in one if k[0] in mine) and any(one[k] != two[k] for k in one if k[0] not in mine)
