@@ -7,6 +7,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import worker_cache
 
 SPACE = "▁"
-#: Chunks and pairs remembered by a worker; beyond this many a table starts anew. Bytes that are given out at once.
-REMEMBERED, GIVEN_BYTES = 350_000, 16 << 20
+#: Chunks and pairs remembered by a worker; beyond so many a table starts anew. Bytes that are given out at once.
+CHUNKS, REMEMBERED, GIVEN_BYTES = 600_000, 300_000, 16 << 20
 
 
 class ChunkIds(dict):
@@ -30,7 +31,7 @@ class ChunkIds(dict):
     def __missing__(self, chunk: str) -> bytes:
         packed = array("I", self.codec.chunk_ids(chunk)).tobytes()
         if len(chunk) < 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= CHUNKS:
                 self.clear()
             self[chunk] = packed
         return packed
@@ -74,12 +75,14 @@ class PieceCodec:
                 self.finder.add_word(p, len(p))
         self.finder.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
+        self.grown: dict[str, tuple] = {}
         alone = "".join(map(re.escape, "".join(c for c in "\n\t" if all(c not in p or p == c for p in self.id))))
         self.chunks = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.known = ChunkIds(self)
 
-    def merged(self, text: str) -> list[str]:
-        """Plain merging: the best score first, the leftmost of equals."""
+    def merged(self, text: str, log: list[tuple[float, int, int, str]] | None = None) -> list[str]:
+        """Plain merging: the best score first, the leftmost of equals. log takes each merge: the score's negative, where
+        its left and its right part begin, and what comes of them."""
         parts: list[str] = list(text)
         if len(parts) < 2:
             return parts
@@ -92,10 +95,12 @@ class PieceCodec:
         for i in range(len(parts) - 1):
             offer(i, i + 1)
         while heap:
-            _, i, size, j = heapq.heappop(heap)
+            worth, i, size, j = heapq.heappop(heap)
             if not parts[i] or not parts[j] or after[i] != j or len(parts[i]) + len(parts[j]) != size:
                 continue
             parts[i], parts[j] = parts[i] + parts[j], ""
+            if log is not None:
+                log.append((worth, i, j, parts[i]))
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
@@ -103,14 +108,52 @@ class PieceCodec:
             offer(i, after[i])
         return [p for p in parts if p]
 
+    def edges(self, piece: str) -> tuple[bool, list[tuple[str, float]], list[tuple[str, float]]]:
+        """How a piece comes about when merged alone: whether its merges follow one another in order of their scores, and
+        what stands at its end and at its begin in turn, each with the score's negative of the merge that takes it up."""
+        if (known := self.grown.get(piece)) is None:
+            log: list[tuple[float, int, int, str]] = []
+            self.merged(piece, log)
+            last, first, end, begin, at = piece[-1], piece[0], [], [], len(piece) - 1
+            for worth, i, j, joined in log:
+                if j == at:
+                    end.append((last, worth))
+                    last, at = joined, i
+                if i == 0:
+                    begin.append((first, worth))
+                    first = joined
+            in_order = all(a[0] <= b[0] for a, b in zip(log, log[1:]))
+            known = self.grown[piece] = in_order, [*end, (last, inf)], [*begin, (first, inf)]
+        return known
+
     def may_follow(self, left: str, right: str) -> bool:
+        """Whether merging the joined text of two pieces gives just these two: no merge across their border comes before
+        the merges that take up what stands at it. Of equal scores the leftmost merge is first."""
         key = (left, right)
         if (known := self.fits.get(key)) is None:
             if len(self.fits) > REMEMBERED:
                 self.fits.clear()
-            known = self.fits[key] = self.merged(left + right) == [left, right]
+            known = self.fits[key] = self.remerged(left, right)
         return known
 
+    def remerged(self, left: str, right: str) -> bool:
+        plain, ends, _ = self.edges(left)
+        plain_too, _, begins = self.edges(right)
+        if not (plain and plain_too):  # merges out of order: the whole is merged
+            return self.merged(left + right) == [left, right]
+        i = j = 0
+        while True:
+            (a, taken), (b, taken_too) = ends[i], begins[j]
+            score = self.score.get(a + b)
+            if score is not None and -score < taken and -score <= taken_too:
+                return False
+            if taken <= taken_too:
+                if taken == inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def backtrack(self, text: str) -> list[str]:
         """Pieces of a text all of whose letters are pieces."""
         n = len(text)

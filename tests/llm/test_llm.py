@@ -395,6 +395,24 @@ def test_token_counts(spark):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 20), t
 
 
+def test_pieces_that_may_follow():
+    """Adjacent pieces judged at their border, and by merging their whole joined text."""
+    codec = piece_codec.PieceCodec(open(queries.vocabulary("piece_bpe_32k.model"), "rb").read())
+    rnd = random.Random(5)
+    whole = [p for p in codec.id if codec.merged(p) == [p] and not any(t in p for t in codec.tied)]
+    pairs = [(rnd.choice(whole), rnd.choice(whole).lstrip(piece_codec.SPACE) or "a") for _ in range(20_000)]
+    for p in rnd.sample(whole, 6000):  # the two halves of a piece, and of two pieces
+        at, more = rnd.randint(1, len(p)), rnd.choice(whole).lstrip(piece_codec.SPACE)
+        pairs.append((p[:at], p[at:] + more[: rnd.randint(0, 3)]))
+    known, said = set(whole), Counter()
+    for left, right in pairs:
+        if left in known and right in known and not any(t in left + right for t in codec.tied):
+            want = codec.merged(left + right) == [left, right]
+            assert codec.remerged(left, right) == want, (left, right)
+            said[want] += 1
+    assert said[True] > 1000 and said[False] > 1000
+
+
 def test_piece_codec(spark):
     import sentencepiece
 
