@@ -65,7 +65,7 @@ class WordCounter:
         self.pattern = regex.compile(PATTERN.replace(r"\s", SPACE))
         self.suffix = MODEL["end_of_word_suffix"]
         self.whole, self.strange = proven or (self.prove(config["model"]["vocab"]), self.strange_letters())
-        self.is_strange = regex.compile(f"[{regex.escape(self.strange)}]").search if self.strange else lambda text: None
+        self.is_plain = frozenset(self.strange).isdisjoint
         self.known: dict[str, int] = dict(self.whole)
 
     def merged(self, word: str) -> int:
@@ -104,7 +104,7 @@ class WordCounter:
     def plain(self, text: str) -> int:
         # The library's own normalizer: its Unicode tables may be another version's. ASCII needs none of it.
         text = text.lower() if text.isascii() else self.normalized(text)
-        if not text.isascii() and self.is_strange(text):
+        if not text.isascii() and not self.is_plain(text):
             return sum(len(self.model.tokenize(piece)) for piece, _ in self.parted(text))
         found = self.pattern.findall(text)
         try:
