@@ -47,7 +47,3 @@ def house_difference(a: Column, b: Column) -> Column:
     """ln(1 + difference) of the first nine digits of two digit strings."""
     number = lambda c: F.substring(c, 1, 9).cast("long")
     return F.log1p(F.abs(number(a) - number(b)))
-
-
-def idf(n: Column, df: Column) -> Column:
-    return F.log1p(n / df)

@@ -328,7 +328,7 @@ def cap_union(spark, d):
 
 
 def text_sides(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("country"), F.split(F.trim(F.regexp_replace(F.lower("text"), "[ \\t\\n\\x0b\\f\\r]+", " ")), " ").alias("tokens"), (F.substring("source", 4, 9).cast("int") % 3).alias("side"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("country"), F.split(F.btrim(F.lower("text"), F.lit(" \t\n\x0b\f\r")), "[ \\t\\n\\x0b\\f\\r]+").alias("tokens"), (F.substring("source", 4, 9).cast("int") % 3).alias("side"))
     return docs.where("side = 0").withColumnRenamed("doc_id", "s1_id").drop("side"), docs.where("side <> 0").withColumnRenamed("doc_id", "pool_id").drop("side")
 
 

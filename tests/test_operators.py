@@ -282,3 +282,32 @@ def test_scored_rows_teach_nothing(spark):
         one, two = score(df), score(turned)
         assert one.keys() == two.keys() and mine & {k[0] for k in one}
         assert all(one[k] == two[k] for k in one if k[0] in mine) and any(one[k] != two[k] for k in one if k[0] not in mine)
+
+
+def test_token_pass_makes_no_row_of_a_shared_word(spark, monkeypatch):
+    """180 million shared words of 900,000 pairs, in tiles; names that two words share are told apart."""
+    import time
+
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    vocabulary = np.array([f"w{i}" for i in range(900)])
+    words = [vocabulary[np.sort(rnd.choice(900, 425, replace=False))].tolist() for _ in range(1900)]
+    q = spark.createDataFrame([(i, "k", w) for i, w in enumerate(words[:900])], "s1_id long, country string, tokens array<string>")
+    p = spark.createDataFrame([(f"p{i:04}", "k", w) for i, w in enumerate(words[900:])], "pool_id string, country string, tokens array<string>")
+    name = blocking.word_name
+    monkeypatch.setattr(blocking, "word_name", lambda word, seed: name(word, seed) if seed else F.length(word).cast("long"))
+    monkeypatch.setattr(blocking, "TILE_WORDS", 150_000)
+    monkeypatch.setattr(blocking, "TILE_QUERIES", 100)
+    began = time.time()
+    got = {(r["s1_id"], r["tok_rank"]): (r["pool_id"], r["tok_score"]) for r in blocking.token_pass(q, p, max_df=480).collect()}
+    assert time.time() - began < 30
+    has = np.array([np.isin(vocabulary, w) for w in words], float)
+    df = has[900:].sum(0)
+    has *= np.where(df <= 480, np.log1p(1000 / np.maximum(df, 1)), 0)
+    assert 0 < (df > 480).sum() < 900
+    has /= np.sqrt((has * has).sum(1, keepdims=True)) + 1e-6
+    score = has[:900] @ has[900:].T
+    for i in range(900):
+        best = np.argsort(-np.round(score[i], 9), kind="stable")[:12]
+        assert [got[i, k + 1][0] for k in range(12)] == [f"p{j:04}" for j in best] and np.allclose([got[i, k + 1][1] for k in range(12)], score[i][best], atol=1e-9)
