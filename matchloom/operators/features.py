@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sm
 from ..functions import text as tx
 from ..functions.scores import house_difference
+from ..sources.shared import tasks_of
 from .context import rank_and_gap
 
 VIEWS = ["name_clean", "name_core", "name_skel", "name_ns", "name_alt", "addr_clean", "postal", "nums", "landmarks"]
@@ -57,9 +58,10 @@ def attach_records(pairs: DataFrame, s1: DataFrame, pool: DataFrame, views=VIEWS
 def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
     """All features of candidate pairs that carry their blocking scores, and the primary record's context.
 
-    The fuzzy scores of a row are computed in one pass over Arrow batches; the rest stays in the JVM.
+    The fuzzy scores of a row are computed in one pass over Arrow batches; the rest stays in the JVM. Pairs are dealt to
+    all cores, few bytes as they are: the work on a pair is long.
     """
-    df = attach_records(pairs, s1, pool)
+    df = attach_records(pairs, s1, pool).repartition(tasks_of(pairs.sparkSession), "s1_id")
     c = F.col
     fuzzy = {
         "n_ratio": ("name_core", "ratio"), "n_partial": ("name_core", "partial"), "n_tsort": ("name_core", "token_sort"), "n_tset": ("name_core", "token_set"), "n_jw": ("name_core", "jaro_winkler"),

@@ -15,7 +15,7 @@ from ..functions import similarity as sm
 from ..functions import text as tx
 from ..operators import blends, blocking, context, decide, features, folds, learn, metrics, validate
 from ..sources import sinks, tables
-from ..sources.shared import shared_dir, written
+from ..sources.shared import shared_dir, tasks_of, written
 from . import reports
 from . import text_sql as ts
 
@@ -482,7 +482,7 @@ def decoy_features(spark, d):
 
 def entities(spark, d):
     """Parts as records: their names, and size, brand and type as an address; a type is a country."""
-    p = table(spark, d, "part")
+    p = table(spark, d, "part").repartition(tasks_of(spark), "p_partkey")
     h = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("business_name"), F.concat_ws(" ", F.col("p_size").cast("string"), "p_brand", "p_type").alias("business_address"), F.col("p_type").alias("country"), F.lit(2).alias("source"))
     h = written(tx.normalize(h), "entities")  # as the normalize stage's table
     return h.where("entity_id % 3 = 0"), h.where("entity_id % 3 <> 0")

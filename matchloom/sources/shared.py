@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def tasks_of(spark: SparkSession) -> int:
+    """Tasks for few bytes with much work each, which would else share one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """A path with the scheme of the default file system where it has none."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

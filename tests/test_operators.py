@@ -311,3 +311,34 @@ def test_token_pass_makes_no_row_of_a_shared_word(spark, monkeypatch):
     for i in range(900):
         best = np.argsort(-np.round(score[i], 9), kind="stable")[:12]
         assert [got[i, k + 1][0] for k in range(12)] == [f"p{j:04}" for j in best] and np.allclose([got[i, k + 1][1] for k in range(12)], score[i][best], atol=1e-9)
+
+
+def test_pairs_are_scored_by_all_cores(spark, tmp_path):
+    """Few bytes with much work: parts are normalized, and pairs scored, by as many tasks as a shuffle has."""
+    from matchloom.functions import similarity as sm
+    from matchloom.plans import catalogue
+
+    rows = [(i, "%s part" % w, "Brand#%d" % (i % 9), "LARGE", i % 50) for i, w in enumerate(["hot", "cold", "old"] * 200)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    s1, _ = catalogue.entities(spark, str(tmp_path))
+    assert len(s1.inputFiles()) >= 4
+    got = catalogue.pair_features(spark, str(tmp_path)).select("s1_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r["s1_id"] for r in got}) == len(got) == 200 and len({r["task"] for r in got}) >= 4
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b):
+                new.append(row[j] + 1 if c == d else max(new[j], row[j + 1]))
+            row = new
+        return row[-1]
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 12))) for _ in "ab")
+        assert sm.lcs_length(a, b) == plain(a, b)
+        a, b = sorted((a, b), key=len)
+        stretches = [b[max(0, e - len(a)) : e] for e in range(1, len(b) + len(a))]
+        ratios = [(2 * plain(a, s) / (len(a) + len(s)), s) for s in stretches]
+        assert max(r for r, s in ratios if s[0] in a or s[-1] in a or not r) <= sm.partial_ratio(a, b) <= max(ratios)[0]
