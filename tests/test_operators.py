@@ -342,3 +342,17 @@ def test_pairs_are_scored_by_all_cores(spark, tmp_path):
         stretches = [b[max(0, e - len(a)) : e] for e in range(1, len(b) + len(a))]
         ratios = [(2 * plain(a, s) / (len(a) + len(s)), s) for s in stretches]
         assert max(r for r, s in ratios if s[0] in a or s[-1] in a or not r) <= sm.partial_ratio(a, b) <= max(ratios)[0]
+
+
+def test_blocks_are_looked_up_without_dealing_records(spark):
+    """Queries of unseen blocks share the whole pool once; no record's words are shuffled by block to find that out."""
+    q = spark.createDataFrame([("s", "k", ["a", "b"]), ("t", "x", ["a"]), ("u", "y", ["b", "b", None]), ("v", None, ["c"]), ("w", "x", None)], "s1_id string, country string, tokens array<string>")
+    pool = spark.createDataFrame([("p1", "k", ["a"]), ("p2", "l", ["b"]), ("p3", None, ["c"]), ("p4", "l", None)], "pool_id string, country string, tokens array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        plans = [df._jdf.queryExecution().toString() for df in blocking.blocks_or_all(q, pool, "country")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not any("SortMergeJoin" in p.split("== Physical Plan ==")[1] for p in plans)
+    assert kept(blocking.token_pass(q, pool)) == {("s", "p1"), ("t", "p1"), ("u", "p2"), ("v", "p3")}
