@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_group, written
+from .common import attach_group, salts, written
 
 #: A local contraction holds this many links at most before it gives out what it has.
 LOCAL_LINKS = 2_000_000
@@ -41,16 +41,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
-def _mins(links: DataFrame) -> DataFrame:
-    """u, v and m, the least of u's neighbours v and u."""
-    return attach_group(links, ["u"], ["v"], m=(F.min("v"), F.min)).withColumn("m", F.least("m", "u"))
+def _nodes(links: DataFrame) -> DataFrame:
+    """node, low and high (its least and greatest neighbours below it), above (a link has it as its lower end)."""
+    uppers = links.select(F.col("b").alias("node"), F.col("a").alias("below"), F.lit(False).alias("above"))
+    ends = uppers.union(links.select("a", F.lit(None).cast("long"), F.lit(True)))
+    return ends.groupBy("node").agg(F.min("below").alias("low"), F.max("below").alias("high"), F.max("above").alias("above"))
 
 
-def _round(links: DataFrame) -> DataFrame:
-    """A large-star step, then a small-star step; links are (a, b) with a < b."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    large = _mins(both).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-    down = _mins(large.select(F.col("b").alias("u"), F.col("a").alias("v")))
+def _round(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A large-star step, then a small-star step; links are (a, b) with a < b, nodes are theirs."""
+    # Upper ends go to the least neighbour of the lower one, which is below it or itself; a node of many links is spread.
+    salted = links.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(salts(links.sparkSession))).cast("int"))
+    moved = salted.select("a", "_salt").distinct().join(nodes.where("above AND low IS NOT NULL").select(F.col("node").alias("a"), "low"), "a")
+    large = salted.join(moved, ["a", "_salt"], "left").select(F.col("b").alias("u"), F.coalesce("low", "a").alias("v"))
+    down = attach_group(large, ["u"], ["v"], m=(F.min("v"), F.min))
     to_least = down.select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
     return to_least.where("a < b").distinct()
 
@@ -59,21 +63,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the least node reachable) for every node of a link table.
 
     Self links and null ends are ignored; repeated and reversed links count once. An empty table gives no rows.
-    Only a row count and a checksum reach the driver in each round.
+    The table that tells whether links are left to move is also what the next round looks up, and at last the result.
     """
     ordered = links.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     ) if (a, b) != ("a", "b") else links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
-    now = written(ordered.distinct().mapInArrow(_forest, "a long, b long").distinct(), "stars")
-    seen = None
+    now = written(ordered.distinct().mapInArrow(_forest, "a long, b long"), "stars")
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+        nodes = written(_nodes(now), "nodes")
         # nothing changes once every node hangs on a root alone: no a is also some b, and no b has two a
-        tangled = now.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or now.join(now.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
-        if not tangled:
+        if not nodes.where("low < high OR (above AND low IS NOT NULL)").limit(1).count():
             break
-        now = written(_round(now), "stars")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct().toDF("node", "component"))
+        now = written(_round(now, nodes), "stars")
+    return nodes.select("node", F.coalesce("low", "node").alias("component"))

@@ -91,8 +91,8 @@ def estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     odd = np.zeros((len(left), len(right)), np.int32)
     for w in range(left.shape[1]):
         odd += np.bitwise_count(left[:, w, None] ^ right[None, :, w])
-    differ = -SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * odd / SKETCH_BITS, 1e-9))
-    return 1 - differ / (2 * SAMPLES)
+    differ = -SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * np.arange(SKETCH_BITS + 1) / SKETCH_BITS, 1e-9))
+    return (1 - differ / (2 * SAMPLES))[odd]
 
 
 def wide_sketch(elements: np.ndarray) -> np.ndarray:
@@ -116,6 +116,32 @@ def wide_limits(total: np.ndarray, least: float) -> np.ndarray:
     return WIDE_BITS / 2 * (1 - e2) + 6 * np.sqrt(np.maximum(WIDE_BITS / 4 * (1 - e4) - d * e4, 0)) + 1
 
 
+def cross_pairs(n: np.ndarray, sketch: np.ndarray, c: np.ndarray, first: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of rows of different components that may be similar, and how many bits of theirs differ.
+
+    n, sketch, c: set sizes, wide sketches and components of rows; first: of two blocks' rows, those of the first, if only
+    pairs across blocks count. Such a pair has a row outside of the largest component: no others are compared.
+    """
+    names, sizes = np.unique(c, return_counts=True)
+    inside = c == names[sizes.argmax()]
+    sides = [(~inside, np.ones(len(c), bool))] if first is None else [(first & ~inside, ~first), (first & inside, ~first & ~inside)]
+    found = [(np.empty(0, np.int64),) * 3]
+    for left, right in sides:
+        i, j = np.flatnonzero(left), np.flatnonzero(right)
+        if not len(i) or not len(j):
+            continue
+        x, y = n[i, None], n[None, j]
+        total, odd = x + y, wide_odds(sketch[i], sketch[j])
+        low, high = int(total.min()), int(total.max())
+        limits = wide_limits(np.arange(low, high + 1), least)[total - low] if high - low < total.size else wide_limits(total, least)
+        hit = (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9) & (odd <= limits) & (c[i, None] != c[None, j])
+        if first is None:
+            hit &= inside[None, j] | (i[:, None] < j[None, :])
+        a, b = np.nonzero(hit)
+        found.append((i[a], j[b], odd[a, b]))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
 def features(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, s1 and s2 (a digest of the set), bands, sketch, wide sketch and the bands' bytes of every row."""
     schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary, wide binary, packed binary"
@@ -212,10 +238,10 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar enough: 100 |A & B| >= percent |A | B|.
 
-    texts: id and t of all documents named. A pair's texts meet in one task, those of a document with many partners in several; sets are made anew there, one
+    pairs: each once. texts: id and t of all documents named. A pair's texts meet in one task, those of a document with many partners in several; sets are made anew there, one
     partner at a time.
     """
-    by = pairs.distinct().withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    by = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
     firsts = by.select(F.col("a").alias("hub"), "part").distinct().withColumn("id", F.col("hub"))
     others = by.select(F.col("a").alias("hub"), "part", F.col("b").alias("id"))
     needed = firsts.union(others)
@@ -280,8 +306,8 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
     marked = "a long, b long, mark boolean, open boolean"
     seen = written(sorted_.mapInArrow(first, marked).where("a < b OR open").distinct(), "pairs")
     links = written(confirmed(seen.where("NOT mark").select("a", "b"), texts, shingle, percent), "links")
-    tree = written(components(links), "tree")
-    unsettled = seen.where("mark").select(F.col("a").alias("key")).distinct()
+    tree = components(links)
+    unsettled = seen.where("mark").select(F.col("a").alias("key"))
     wide = found.select("rep", "wide", "packed")
     parts = written(members.select("key", "block").distinct(), "blocks")
 
@@ -294,19 +320,13 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
                     continue
                 bands = _words(bands).view(np.int64)
                 before = bands[:, : int(np.flatnonzero(bands[0] == key[0])[0])]
-                s, total = _words(sketch), n[:, None] + n[None, :]
-                odd = wide_odds(s, s)
-                fits = np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9
-                hit = fits & (odd <= wide_limits(total, least)) & (c[:, None] != c[None, :])
-                if x[0] != y[0]:
-                    hit &= block[:, None] != block[None, :]
-                a, b = np.nonzero(np.triu(hit, 1))
+                a, b, odd = cross_pairs(n, _words(sketch), c, block == x[0] if x[0] != y[0] else None, least)
                 new = ~(before[a] == before[b]).any(axis=1)  # a pair belongs to the first bucket that has both
-                a, b = a[new], b[new]
+                a, b, odd = a[new], b[new], odd[new]
                 open_ = not whole and len(a) > EARLY_PAIRS * len(rep)
                 if open_:  # rows of one component hang together already
                     near = np.where(c[:, None] == c[None, :], 2.0, -1.0)
-                    near[a, b] = near[b, a] = 1 - odd[a, b] / total[a, b]
+                    near[a, b] = near[b, a] = 1 - odd / (n[a] + n[b])
                     a, b = spanning_forest(near, -0.5)
                     new = c[a] != c[b]
                     a, b = a[new], b[new]
@@ -332,9 +352,9 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
         more = seen.where("NOT mark").select("a", "b")
         if not more.limit(1).count():
             break
-        links = written(links.union(confirmed(more, texts, shingle, percent)), "links")
-        tree = written(components(links), "tree")
-        unsettled = seen.where("mark").select(F.col("a").alias("key")).distinct()
+        links = tree.select(F.col("component").alias("a"), F.col("node").alias("b")).union(confirmed(more, texts, shingle, percent))
+        tree = components(links)
+        unsettled = seen.where("mark").select(F.col("a").alias("key"))
     return tree
 
 

@@ -90,6 +90,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_component_rounds_take_few_jobs(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(1000, i) for i in range(2000, 2300)], "a long, b long").repartition(8)
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    began = jobs()
+    tree = components.components(links)
+    assert jobs() - began <= 9 and tree.where("component IN (0, 1000)").count() == 702
+    began = jobs()
+    tree.collect()
+    assert jobs() - began == 1  # the result is a table that is read, nothing is dealt anew
+
+
 def test_component_rounds_without_local_help(spark, monkeypatch):
     monkeypatch.setattr(components, "_forest", lambda batches: batches)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)]
@@ -309,6 +320,26 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == plain_near(texts, 2)
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_cross_pairs_compare_no_pair_within_the_largest_component(monkeypatch, blocks):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 300 - d], rng.integers(0, 2**63, d, dtype=np.uint64)])) for d in rng.integers(0, 60, 80)]
+    n, c = np.array([len(x) for x in sets]), np.where(np.arange(80) % 10 < 8, 1, np.arange(80) % 4 + 5)
+    sketch = np.stack([np.frombuffer(minhash.wide_sketch(x).tobytes(), np.uint64) for x in sets])
+    block = rng.permutation(80) % blocks
+    compared, odds = [], minhash.wide_odds
+    monkeypatch.setattr(minhash, "wide_odds", lambda x, y: compared.append(len(x) * len(y)) or odds(x, y))
+    a, b, odd = minhash.cross_pairs(n, sketch, c, block == 0 if blocks > 1 else None, 0.8)
+    every = odds(sketch, sketch)
+    hit = (np.minimum(n[:, None], n) >= 0.8 * np.maximum(n[:, None], n) - 1e-9) & (every <= minhash.wide_limits(n[:, None] + n, 0.8)) & (c[:, None] != c)
+    want = {(i, j) for i, j in np.argwhere(np.triu(hit, 1)).tolist() if blocks == 1 or block[i] != block[j]}
+    got = [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert (odd == every[a, b]).all()
+    assert sum(compared) <= 16 * 80  # 16 rows are outside; all rows met all others, 6,400 pairs, before
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(3)
     for share in (0.8, 0.9, 0.95):
