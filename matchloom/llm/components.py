@@ -13,10 +13,12 @@ from .common import attach_group, salts, written
 
 #: A local contraction holds this many links at most before it gives out what it has.
 LOCAL_LINKS = 2_000_000
+#: So few links, at most, are joined by one task at last (some 100 MB); more take rounds of shuffles until they are.
+LAST_LINKS = 250_000
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a partition as stars around the smallest node of each local component."""
+def _contracted(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The nodes of a partition's links and the smallest node of each one's local component, over `most` nodes at a time."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -24,21 +26,33 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent.setdefault(p, p)
         return x
 
-    def stars() -> pa.RecordBatch:
-        pairs = [(root(x), x) for x in list(parent)]
-        pairs = np.array([p for p in pairs if p[0] != p[1]], dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    def found() -> tuple[np.ndarray, np.ndarray]:
+        nodes = np.fromiter(parent, np.int64, len(parent))
+        return nodes, np.fromiter(map(root, nodes.tolist()), np.int64, len(nodes))
 
     for batch in batches:
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             x, y = root(x), root(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        if len(parent) > LOCAL_LINKS:
-            yield stars()
+        if most and len(parent) > most:
+            yield found()
             parent.clear()
     if parent:
-        yield stars()
+        yield found()
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a partition as stars around the smallest node of each local component."""
+    for nodes, roots in _contracted(batches, LOCAL_LINKS):
+        hang = nodes != roots
+        yield pa.RecordBatch.from_arrays([pa.array(roots[hang]), pa.array(nodes[hang])], ["a", "b"])
+
+
+def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and component of all links, which are one partition."""
+    for found in _contracted(batches, None):
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["node", "component"])
 
 
 def _nodes(links: DataFrame) -> DataFrame:
@@ -64,15 +78,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Self links and null ends are ignored; repeated and reversed links count once. An empty table gives no rows.
     The table that tells whether links are left to move is also what the next round looks up, and at last the result.
+    Links are contracted where they are read, so those that are costly to make should be written before; once they are
+    LAST_LINKS at most, one task gives the result, since rounds over so few are nothing but tasks that start.
     """
     ordered = links.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     ) if (a, b) != ("a", "b") else links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
-    now = written(ordered.distinct().mapInArrow(_forest, "a long, b long"), "stars")
-    while True:
+    now = written(ordered.mapInArrow(_forest, "a long, b long"), "stars")
+    while now.count() > LAST_LINKS:
         nodes = written(_nodes(now), "nodes")
         # nothing changes once every node hangs on a root alone: no a is also some b, and no b has two a
         if not nodes.where("low < high OR (above AND low IS NOT NULL)").limit(1).count():
-            break
+            return nodes.select("node", F.coalesce("low", "node").alias("component"))
         now = written(_round(now, nodes), "stars")
-    return nodes.select("node", F.coalesce("low", "node").alias("component"))
+    return written(now.coalesce(1).mapInArrow(_tree, "node long, component long"), "tree")

@@ -295,7 +295,7 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
                 a, b = spanning_forest(near, least - MARGIN)
             open_ |= blocks[0] > 1
             a, b, mark = rep[a], rep[b], np.append(np.zeros(len(a), bool), True)
-            columns = np.append(np.minimum(a, b), key[0] if open_ else 0), np.append(np.maximum(a, b), 0), mark, mark & open_
+            columns = np.append(np.minimum(a, b), key[0] if open_ else 0), np.append(np.maximum(a, b), blocks[0] if open_ else 0), mark, mark & open_
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "mark", "open"])
 
     # The texts that may have to be compared, found by one shuffle for all rounds.
@@ -303,19 +303,23 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
     texts = written(own.hint("merge").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
 
     sorted_ = members.select("key", "block", "rep", "n", "sketch", "blocks").repartition(tasks, "key", "block").sortWithinPartitions("key", "block", "rep")
-    marked = "a long, b long, mark boolean, open boolean"
+    marked = "a long, b long, mark boolean, open boolean"  # a mark: a bucket's key and its blocks
+
+    def each_block(buckets: DataFrame) -> DataFrame:
+        """key and block of buckets (key, blocks): a bucket's rows are reached through its blocks, so that a large one is not read by one task."""
+        return buckets.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
+
     seen = written(sorted_.mapInArrow(first, marked).where("a < b OR open").distinct(), "pairs")
     links = written(confirmed(seen.where("NOT mark").select("a", "b"), texts, shingle, percent), "links")
     tree = components(links)
-    unsettled = seen.where("mark").select(F.col("a").alias("key"))
+    unsettled = seen.where("mark").select(F.col("a").alias("key"), F.col("b").alias("blocks"))
     wide = found.select("rep", "wide", "packed")
-    parts = written(members.select("key", "block").distinct(), "blocks")
 
     def across(whole: bool):
         """Pairs of a tile across components. If they are many: whole gives them all, else those of a forest."""
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for key, x, y, block, rep, n, sketch, bands, c in _groups(batches, 3):
+            for key, x, y, block, rep, n, sketch, bands, c, blocks in _groups(batches, 3):
                 if (c == c[0]).all():
                     continue
                 bands = _words(bands).view(np.int64)
@@ -331,7 +335,7 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
                     new = c[a] != c[b]
                     a, b = a[new], b[new]
                 a, b, mark = rep[a], rep[b], np.append(np.zeros(len(a), bool), True)
-                columns = np.append(np.minimum(a, b), key[0] if open_ else 0), np.append(np.maximum(a, b), 0), mark, mark & open_
+                columns = np.append(np.minimum(a, b), key[0] if open_ else 0), np.append(np.maximum(a, b), blocks[0] if open_ else 0), mark, mark & open_
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["a", "b", "mark", "open"])
 
         return pairs
@@ -340,21 +344,19 @@ def link_classes(found: DataFrame, docs: DataFrame, shingle: int, percent: int,
     for whole in (False, True):
         if not unsettled.limit(1).count():
             break
-        # A bucket's rows are reached through its blocks, so that a large one is not read by one task.
-        rest = members.join(parts.join(unsettled, "key"), ["key", "block"], "left_semi").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
+        rest = members.join(each_block(unsettled), ["key", "block"], "left_semi").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
         rest = rest.select("key", "rep", "n", "blocks", "block", F.coalesce("component", "rep").alias("c"))
-        ends = rest.groupBy("key", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-        several = ends.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
-        tiles = rest.join(parts.join(several, "key"), ["key", "block"], "left_semi").join(wide, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        tiles = tiles.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "wide", "packed", "c")
+        several = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("blocks").alias("blocks")).where("low < high")
+        tiles = rest.join(each_block(several), ["key", "block"], "left_semi").join(wide, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        tiles = tiles.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "wide", "packed", "c", "blocks")
         by = tiles.repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
         seen = written(by.mapInArrow(across(whole), marked).where("a < b OR open").distinct(), "pairs")
         more = seen.where("NOT mark").select("a", "b")
         if not more.limit(1).count():
             break
         links = tree.select(F.col("component").alias("a"), F.col("node").alias("b")).union(confirmed(more, texts, shingle, percent))
-        tree = components(links)
-        unsettled = seen.where("mark").select(F.col("a").alias("key"))
+        tree = components(written(links, "links"))
+        unsettled = seen.where("mark").select(F.col("a").alias("key"), F.col("b").alias("blocks"))
     return tree
 
 
@@ -370,16 +372,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     made = written(features(docs, shingle, text), "features")
     full = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = attach_group(full.select("doc_id", "n_shingles", "s1", "s2"), ["s1", "s2", "n_shingles"], ["doc_id"], rep=(F.min("doc_id"), F.min))
-    classes = written(classes.select("doc_id", "n_shingles", "s1", "s2", "rep").distinct(), "classes")
+    classes = written(classes.select("doc_id", "n_shingles", "s1", "s2", "rep"), "classes")
     heads = classes.where("doc_id = rep").select(F.col("doc_id").alias("rep"), "s1", "s2")
-    found = full.withColumnRenamed("doc_id", "rep").join(heads, ["rep", "s1", "s2"], "left_semi").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch", "wide", "packed").distinct()
-    tree = link_classes(written(found, "heads"), docs, shingle, percent, text)
+    found = full.withColumnRenamed("doc_id", "rep").join(heads, ["rep", "s1", "s2"], "left_semi").dropDuplicates(["rep", "s1", "s2"])
+    found = written(found.select("rep", F.col("n_shingles").alias("n"), "bands", "sketch", "wide", "packed"), "heads")
+    tree = link_classes(found, docs, shingle, percent, text)
     # A class takes its representative's component; hot classes are spread over tasks.
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")
-    salted = classes.withColumn("_salt", spread)
+    salted = classes.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
     wanted = salted.select(F.col("rep").alias("node"), "_salt").distinct().join(tree, "node")
     named = salted.join(wanted.select(F.col("node").alias("rep"), "_salt", "component"), ["rep", "_salt"], "left")
-    named = named.select("doc_id", "s1", "s2", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id", "s1", "s2").agg(F.min("component_id").alias("component_id"))
-    rows = made.select("doc_id", "n_shingles", "s1", "s2").join(named, ["doc_id", "s1", "s2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rest = made.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).union(rest)
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
